@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, cut, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -61,12 +61,9 @@ def mix(docs: DataFrame, text="text", doc_id="doc_id", source="source", weights=
     Equal rows are interchangeable: together they get their due copies.  Empty tables give empty results; other
     columns are neither read nor returned.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("z")).alias("skey"),
-        words(F.col(text)).alias("size"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("h"),
-    )
+    skey = F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("z"))
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), skey.alias("skey"), words(F.col(text)).alias("size")))  # texts are read once
+    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     octave = F.length(F.bin("size"))
     rows = rows.select("*", (octave * 32 + F.expr("(size * 16) div shiftleft(1L, length(bin(size)) - 1)")).cast("int").alias("class"))
     rows = rows.withColumn("slice", F.substring("h", 1, 2))
