@@ -93,10 +93,23 @@ def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
+def local_stars(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) for the nodes that aren't it; u and v are positions in `nodes`.
+
+    Stars to the smallest node make overlapping groups send the same pairs, which then count once.
+    """
+    roots = local_roots(len(nodes), u, v)
+    low = nodes.copy()
+    np.minimum.at(low, roots, nodes)
+    low = low[roots]
+    moved = np.flatnonzero(low != nodes)
+    return nodes[moved], low[moved]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u long, v long); root is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edge set stands still.  Minima are pre-aggregated, and
+    Alternates small-star and large-star steps until the edge set stands still.  Minima are pre-aggregated, and
     a hub's edges meet its minimum in an equi-join that adaptive execution can split.  Null ends and loops are
     ignored; an empty input gives an empty result.
     """
@@ -105,12 +118,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _signature(stars)) != before:
         before = now
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stars.groupBy("u").agg(F.min("v").alias("m"))
+        moved = stars.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        stars = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

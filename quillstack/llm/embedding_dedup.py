@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, cut, local_roots, table
+from .common import arrow_map, connected_components, cut, local_stars, table
 
 COSINE = 0.93
 BLOCK_DIMS = 8
@@ -151,11 +151,10 @@ def _compare(run: pa.Table, cosine: float) -> pa.Table:
         kinds.append(np.zeros(len(some), np.int32))
         nodes.append(node[s + some])
         others.append(count[some])
-        roots = local_roots(e - s, u, v)
-        moved = np.flatnonzero(roots != np.arange(e - s))
+        moved, low = local_stars(node[s:e], u, v)
         kinds.append(np.ones(len(moved), np.int32))
-        nodes.append(node[s + moved])
-        others.append(node[s + roots[moved]])
+        nodes.append(moved)
+        others.append(low)
     if not kinds:
         return pa.table({"kind": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
     return pa.table({"kind": np.concatenate(kinds), "node": np.concatenate(nodes), "other": np.concatenate(others)})

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, cut, local_roots, table
+from .common import arrow_map, connected_components, cut, local_stars, table
 
 #: The contract's 64-bit index: each 5 of 8 positions, for at most 3 differing bits.
 FIVE_OF_EIGHT = tuple(combinations(range(8), 5))
@@ -88,7 +88,7 @@ def _linked(a: np.ndarray, b: np.ndarray, matches: int, bits: int) -> np.ndarray
 
 
 def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, matches: int, bits: int, wide: int = 32):
-    """A spanning forest (u, v as node ids) of the links inside each run of equal keys."""
+    """Stars (node, smallest node of its component) of the links inside each run of equal keys."""
     n = len(keys)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.r_[first, n])
@@ -115,8 +115,7 @@ def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, matches: int
                 label[np.isin(label, label[hit])] = label[i]
     if not us:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return nodes[u], nodes[v]
+    return local_stars(nodes, np.concatenate(us), np.concatenate(vs))
 
 
 def components(prints: DataFrame, lanes: int = 1, sets=FIVE_OF_EIGHT, bits: int = 3) -> DataFrame:
