@@ -363,7 +363,7 @@ def prompt_shallowest(spark, sf_dir):
     return dedup.shallowest(read(spark, sf_dir, "benchmark").select(name.alias("name"), path.alias("path")))
 
 
-SPANS = "s AS (SELECT user_id, epoch(ts)::BIGINT // 600 AS a, epoch(ts)::BIGINT // 600 + event_id % 4 AS b FROM events)"
+SPANS = "s AS (SELECT user_id, floor(epoch(ts))::BIGINT // 600 AS a, floor(epoch(ts))::BIGINT // 600 + event_id % 4 AS b FROM events)"
 
 
 def _spans(spark, sf_dir):
@@ -382,7 +382,7 @@ def merge_ranges(spark, sf_dir):
 
 @query(
     "elision",
-    "WITH r AS (SELECT DISTINCT user_id, epoch(ts)::BIGINT // 600 AS \"row\" FROM events) SELECT user_id, \"row\", coalesce(\"row\" <> lag(\"row\") OVER (PARTITION BY user_id ORDER BY \"row\") + 1, false) AS elided_before FROM r",
+    "WITH r AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT // 600 AS \"row\" FROM events) SELECT user_id, \"row\", coalesce(\"row\" <> lag(\"row\") OVER (PARTITION BY user_id ORDER BY \"row\") + 1, false) AS elided_before FROM r",
 )
 def elision(spark, sf_dir):
     return ranges.elisions(_spans(spark, sf_dir).select("user_id", F.col("start").alias("row")).distinct(), "user_id")
