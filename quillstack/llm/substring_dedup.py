@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, table
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?![\x20\x09\x0B-\x0D]*\n))+")}
+_LINE = r"[^\n]*?[^\x20\x09-\x0D][^\n]*"
+#: A paragraph is a run of lines that aren't blank.
+UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(rf"^{_LINE}(?:\n{_LINE})*", re.M)}
 #: Shorter units are never removed: two documents may well share such a line by chance.
 MIN_WORDS = 5
 _SPACE = re.compile(SPACE)
