@@ -1,14 +1,16 @@
 """Operator 5, toxicity: a counterfactual-regularised linear classifier.
 
-Features are the presence of hashed words and word prefixes.  Logistic regression on a bounded sample of labelled
-rows minimises log loss + LAMBDA * (z(x) - z(x'))^2 over documents with an identity term, where x' has its identity
-terms swapped for others of their kind: what merely names a group can't move the score.  Every whole text is scored.
+Features are hashed words and word prefixes at doubling shares of a text's words: at all, at least 1/512 of them, 1/256
+and so on.  Those whose log-likelihood ratio with the label is significant on a bounded sample of labelled rows are
+fitted by logistic regression, which minimises log loss + LAMBDA * (z(x) - z(x'))^2 over documents with an identity
+term, where x' has its identity terms swapped for others of their kind: what merely names a group can't move the
+score.  Every whole text is scored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SLOTS = 1 << 19
+#: Hash values of words and prefixes; each has a slot for its presence and for LEVELS shares, the least being 1/512.
+BASES, LEVELS = 1 << 19, 8
+SLOTS = BASES * (LEVELS + 1)
 PREFIXES = (3, 4, 5, 6)
 #: At most this many training documents of each label: those with the smallest hash of doc_id.
 MAX_PER_LABEL = (4500, 3000)
-LAMBDA, L2, STEPS = 2.0, 4e-6, 100
+#: Least log-likelihood ratio (chi-squared with one degree of freedom) of a feature that is fitted.
+SIGNIFICANT = 16.0
+LAMBDA, L2, STEPS = 2.0, 1e-4, 100
 BLOCK = 1 << 20
 
 #: Terms of one kind, per language; a swap takes the next term of the kind.
@@ -40,10 +46,11 @@ _EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range
 
 
 class Features:
-    """Feature slots of words, with a bounded memory of words seen before."""
+    """Bases and slots of texts, with a bounded memory of words seen before; given `hot`, of those bases only."""
 
-    def __init__(self):
+    def __init__(self, hot: dict | None = None):
         self.known: dict[str, tuple] = {}
+        self.hot = hot
 
     def of(self, word: str) -> tuple:
         got = self.known.get(word)
@@ -52,22 +59,34 @@ class Features:
                 self.known.clear()
             bare = word.strip(_EDGE)
             data = [bare] + [f"{n}\t{bare[:n]}" for n in PREFIXES if len(bare) >= n] if bare else []
-            got = self.known[word] = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in data)
+            bases = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BASES for x in data]
+            got = self.known[word] = tuple(bases if self.hot is None else [b for b in bases if b in self.hot])
         return got
 
-    def text(self, text: str, swap: bool = False) -> tuple[np.ndarray, bool]:
-        """Distinct slots of a whole text, and whether it names a group."""
-        slots: set[int] = set()
-        named, tail, at = False, "", 0
+    def levels(self, text: str, swap: bool = False) -> tuple[dict[int, int], bool]:
+        """Level of each base of a whole text, and whether the text names a group."""
+        counts: dict[int, int] = {}
+        named, at, total = False, 0, 0
         while at < len(text):
             end = text.find(" ", at + BLOCK)
             end = len(text) if end < 0 else end
-            for word in set(text[at:end].lower().split()):
-                other = SWAP.get(word.strip(_EDGE))
-                named = named or other is not None
-                slots.update(self.of(other if swap and other else word))
+            for word, n in Counter(text[at:end].lower().split()).items():
+                total += n
+                if self.hot is None:
+                    other = SWAP.get(word.strip(_EDGE))
+                    named = named or other is not None
+                    word = other if swap and other else word
+                for base in self.of(word):
+                    counts[base] = counts.get(base, 0) + n
             at = end
-        return np.fromiter(slots, np.int32, len(slots)), named
+        return {base: min(LEVELS, max(0, (n * 1024 // total).bit_length() - 1)) for base, n in counts.items()}, named
+
+    def slots(self, text: str, swap: bool = False) -> tuple[np.ndarray, bool]:
+        """A slot for each base and level up to the text's."""
+        found, named = self.levels(text, swap)
+        base, level = (np.fromiter(x, np.int64, len(found)) for x in (found.keys(), found.values()))
+        base, level = np.repeat(base * (LEVELS + 1), level + 1), level + 1
+        return (base + np.arange(len(base)) - np.repeat(np.cumsum(level) - level, level)).astype(np.int32), named
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label=MAX_PER_LABEL) -> DataFrame:
@@ -83,9 +102,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", pe
             xs, others = [], []
             for t in batch.column("text"):
                 text = t.as_py() or ""
-                x, named = features.text(text)
+                x, named = features.slots(text)
                 xs.append(x)
-                others.append(features.text(text, swap=True)[0] if named else None)
+                others.append(features.slots(text, swap=True)[0] if named else None)
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(xs, kind), pa.array(others, kind)], ["id", "y", "x", "other"])
 
@@ -94,33 +113,44 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", pe
     return chosen.mapInArrow(run, "id long, y int, x array<int>, other array<int>")
 
 
-def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return (np.concatenate(lists) if len(lists) else np.empty(0, np.int32)).astype(np.int64), np.repeat(np.arange(len(lists)), sizes)
+def _ragged(lists, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, list) of the members of lists of slots that are in `used`, feature being the place there."""
+    place = np.full(SLOTS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    found = [own[own >= 0] for own in (place[x] for x in lists)]
+    return np.concatenate([np.empty(0, np.int32), *found]), np.repeat(np.arange(len(found)), [len(x) for x in found])
+
+
+def likelihood_ratio(xs, y: np.ndarray) -> np.ndarray:
+    """Per slot, twice the gain in log likelihood of the labels when those of texts with and without it are told apart."""
+    toxic, all_ = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for x, label in zip(xs, y):
+        all_[x] += 1
+        if label:
+            toxic[x] += 1
+    seen = np.flatnonzero(all_ > 1)
+    a, k, n, n1 = toxic[seen].astype(float), all_[seen].astype(float), len(y), y.sum()
+    e = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
+    out = np.zeros(SLOTS, np.float32)
+    out[seen] = 2 * (e(a) + e(k - a) + e(n1 - a) + e(n - n1 - k + a) - e(k) - e(n - k) + e(n) - e(n1) - e(n - n1))
+    return out
 
 
-def train(xs, ys, others, lam: float = LAMBDA, steps: int = STEPS) -> np.ndarray:
-    """Weights, the bias last.  others: the swapped version of each document, or None."""
+def train(xs, ys, others, lam: float = LAMBDA, steps: int = STEPS) -> tuple[dict, float]:
+    """(base -> summed weights up to each level, bias).  others: the swapped version of each document, or None."""
     y = np.asarray(ys, float)
-    weights = np.zeros(SLOTS + 1)
-    if not len(y):
-        weights[-1] = -5.0
-        return weights
-    col, row = _ragged(xs)
-    seen = np.bincount(col, minlength=SLOTS)
-    pos = np.bincount(col, weights=y[row], minlength=SLOTS)
     n1, n0 = y.sum(), len(y) - y.sum()
-    ratio = np.log((pos + 0.5) / (n1 + 1)) - np.log((seen - pos + 0.5) / (n0 + 1))
-    scale = np.where(seen >= 2, np.abs(ratio), 0.0)  # log-count ratios: frequent words of both labels weigh little
+    if not n1 or not n0:
+        return {}, 5.0 if n1 else -5.0
+    ratio = likelihood_ratio(xs, y)
+    used = np.flatnonzero(ratio > SIGNIFICANT)
+    s = 3 * np.sqrt(ratio[used] / len(y))
+    a, row = _ragged(xs, used)
     pairs = [i for i, o in enumerate(others) if o is not None]
-    pcol, prow = _ragged([np.concatenate([xs[i], others[i]]) for i in pairs])
-    psign = np.concatenate([np.r_[np.ones(len(xs[i])), -np.ones(len(others[i]))] for i in pairs]) if pairs else np.empty(0)
-    keep, pkeep = scale[col] > 0.15, scale[pcol] > 0
-    used, inverse = np.unique(np.r_[col[keep], pcol[pkeep]], return_inverse=True)
-    a, b = inverse[: keep.sum()], inverse[keep.sum() :]
-    row, prow, psign = row[keep], prow[pkeep], psign[pkeep]
-    s = scale[used]
-    balance = np.where(y > 0, len(y) / (2 * max(n1, 1)), len(y) / (2 * max(n0, 1))) ** 0.5
+    b, prow = _ragged([xs[i] for i in pairs], used)
+    c, crow = _ragged([others[i] for i in pairs], used)
+    b, prow, psign = np.r_[b, c], np.r_[prow, crow], np.r_[np.ones(len(b)), -np.ones(len(c))]
+    balance = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0)) ** 0.5
     w, bias, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         z = np.bincount(row, weights=(w * s)[a], minlength=len(y)) + bias
@@ -133,29 +163,31 @@ def train(xs, ys, others, lam: float = LAMBDA, steps: int = STEPS) -> np.ndarray
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    weights[used] = w * s
-    weights[-1] = bias
-    return weights
+    bases, row = np.unique(used // (LEVELS + 1), return_inverse=True)
+    steps_of = np.zeros((len(bases), LEVELS + 1))
+    steps_of[row, used % (LEVELS + 1)] = w * s
+    return dict(zip(bases.tolist(), steps_of.cumsum(1).tolist())), float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", lam: float = LAMBDA) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", lam: float = LAMBDA) -> tuple[dict, float]:
     got = training_sample(docs, labels, label).toArrow().sort_by("id")
     lists = lambda c: [None if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in got[c]]
     return train(lists("x"), got["y"].to_numpy(), lists("other"), lam)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict, float]) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Null and empty texts get the score of a text without features.  A null doc_id is held out of nothing (false).
     Repeated rows give repeated results, empty tables empty ones; other columns are neither read nor returned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # significant features of a bounded sample: some thousand
 
     def run(batches):
-        w, features = shared.value, Features()
+        hot, bias = shared.value
+        features = Features(hot)
         for batch in batches:
-            z = [float(w[features.text(t.as_py() or "")[0]].sum(dtype=np.float64) + w[-1]) for t in batch.column("text")]
+            z = [bias + sum(hot[base][level] for base, level in features.levels(t.as_py() or "")[0].items()) for t in batch.column("text")]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
             out = [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
