@@ -26,8 +26,8 @@ PREFIXES = (3, 4, 5, 6)
 #: At most this many training documents of each label: those with the smallest hash of doc_id.
 MAX_PER_LABEL = (4500, 3000)
 #: Least log-likelihood ratio (chi-squared with one degree of freedom) of a feature that is fitted.
-SIGNIFICANT = 16.0
-LAMBDA, L2, STEPS = 2.0, 1e-4, 100
+SIGNIFICANT = 12.0
+LAMBDA, L2, STEPS = 2.0, 3e-4, 300
 BLOCK = 1 << 20
 
 #: Terms of one kind, per language; a swap takes the next term of the kind.
@@ -161,7 +161,7 @@ def train(xs, ys, others, lam: float = LAMBDA, steps: int = STEPS) -> tuple[dict
             grad += np.bincount(b, weights=psign * gap[prow], minlength=len(used)) * s * (2 * lam / len(pairs))
         g = np.r_[grad, error.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     bases, row = np.unique(used // (LEVELS + 1), return_inverse=True)
     steps_of = np.zeros((len(bases), LEVELS + 1))
