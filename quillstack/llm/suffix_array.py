@@ -31,7 +31,7 @@ WIDTH = 100
 GRAM = 24
 #: Contexts of one anchor that are sorted together.
 MAX_CONTEXTS = 2000
-CHUNK_BYTES, COMBINE_ROWS, HALO = 1 << 21, 500_000, 512
+CHUNK_BYTES, COMBINE_ROWS, HALO = 1 << 19, 200_000, 512
 
 _BYTES = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
