@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Hash values of words and prefixes; each has a slot for its presence and for LEVELS shares, the least being 1/512.
 BASES, LEVELS = 1 << 19, 8
@@ -90,65 +90,77 @@ class Features:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label=MAX_PER_LABEL) -> DataFrame:
-    """id, y, x, other: feature slots of the sample, and of the text with identity terms swapped (null without any)."""
+    """id, y, text of at most sum(per_label) labelled documents outside the held-out fold, materialised."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     marked = marked.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     parts = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(per_label)]
+    picked = F.broadcast(parts[0].unionByName(parts[1]))
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select(F.col("doc_id").alias("id"), "y", "text"))
+
+
+def significant_slots(sample: DataFrame, n: int, toxic: int, least: float = SIGNIFICANT) -> pa.Table:
+    """(slot, ratio) of the slots whose log-likelihood ratio is over `least`: twice the gain in log likelihood of the
+    labels when those of texts with and without the slot are told apart."""
+
+    def count(batches):
+        features, seen, bad = Features(), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for t, y in zip(batch.column("text"), batch.column("y").to_pylist()):
+                x = features.slots(t.as_py())[0]
+                seen[x] += 1
+                if y:
+                    bad[x] += 1
+        slot = np.flatnonzero(seen)
+        for at in range(0, len(slot), 1 << 16):
+            part = slot[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (part, seen[part], bad[part])], ["slot", "k", "a"])
+
+    e = lambda v: F.when(v > 0, v * F.ln(v)).otherwise(0.0)
+    counts = sample.select("y", "text").mapInArrow(count, "slot long, k long, a long").groupBy("slot").agg(F.sum("k").alias("k"), F.sum("a").alias("a"))
+    k, a, all_, ones = F.col("k"), F.col("a"), F.lit(n), F.lit(toxic)
+    ratio = 2 * (e(a) + e(k - a) + e(ones - a) + e(all_ - ones - k + a) - e(k) - e(all_ - k) + e(all_) - e(ones) - e(all_ - ones))
+    return counts.where("k > 1").select("slot", ratio.alias("ratio")).where(F.col("ratio") > least).toArrow().sort_by("slot")
+
+
+def slot_places(sample: DataFrame, used: np.ndarray) -> pa.Table:
+    """id, y, x, other: each text's slots as places in `used`, and those of the text with identity terms swapped (null
+    if it has none)."""
 
     def run(batches):
-        features = Features()
+        features, place = Features(), np.full(SLOTS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        of = lambda x: (p := place[x])[p >= 0]
         for batch in batches:
             xs, others = [], []
             for t in batch.column("text"):
-                text = t.as_py() or ""
+                text = t.as_py()
                 x, named = features.slots(text)
-                xs.append(x)
-                others.append(features.slots(text, swap=True)[0] if named else None)
+                xs.append(of(x))
+                others.append(of(features.slots(text, swap=True)[0]) if named else None)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(xs, kind), pa.array(others, kind)], ["id", "y", "x", "other"])
-
-    picked = F.broadcast(parts[0].unionByName(parts[1]))  # sum(per_label) rows at most
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
-    return chosen.mapInArrow(run, "id long, y int, x array<int>, other array<int>")
-
-
-def _ragged(lists, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, list) of the members of lists of slots that are in `used`, feature being the place there."""
-    place = np.full(SLOTS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    found = [own[own >= 0] for own in (place[x] for x in lists)]
-    return np.concatenate([np.empty(0, np.int32), *found]), np.repeat(np.arange(len(found)), [len(x) for x in found])
-
-
-def likelihood_ratio(xs, y: np.ndarray) -> np.ndarray:
-    """Per slot, twice the gain in log likelihood of the labels when those of texts with and without it are told apart."""
-    toxic, all_ = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-    for x, label in zip(xs, y):
-        all_[x] += 1
-        if label:
-            toxic[x] += 1
-    seen = np.flatnonzero(all_ > 1)
-    a, k, n, n1 = toxic[seen].astype(float), all_[seen].astype(float), len(y), y.sum()
-    e = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
-    out = np.zeros(SLOTS, np.float32)
-    out[seen] = 2 * (e(a) + e(k - a) + e(n1 - a) + e(n - n1 - k + a) - e(k) - e(n - k) + e(n) - e(n1) - e(n - n1))
-    return out
-
-
-def train(xs, ys, others, lam: float = LAMBDA, steps: int = STEPS) -> tuple[dict, float]:
-    """(base -> summed weights up to each level, bias).  others: the swapped version of each document, or None."""
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(xs, kind), pa.array(others, kind)], ["id", "y", "x", "other"])
+
+    return sample.mapInArrow(run, "id long, y int, x array<int>, other array<int>").toArrow().sort_by("id")
+
+
+def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(member, list) of every member of lists."""
+    return np.concatenate([np.empty(0, np.int32), *lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def train(xs, ys, others, used: np.ndarray, ratio: np.ndarray, lam: float = LAMBDA, steps: int = STEPS) -> tuple[dict, float]:
+    """(base -> summed weights up to each level, bias) from texts' places in `used`.
+
+    others: the swapped version of each text, or None.
+    """
     y = np.asarray(ys, float)
     n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
-        return {}, 5.0 if n1 else -5.0
-    ratio = likelihood_ratio(xs, y)
-    used = np.flatnonzero(ratio > SIGNIFICANT)
-    s = 3 * np.sqrt(ratio[used] / len(y))
-    a, row = _ragged(xs, used)
+    s = 3 * np.sqrt(ratio / len(y))
+    a, row = _ragged(xs)
     pairs = [i for i, o in enumerate(others) if o is not None]
-    b, prow = _ragged([xs[i] for i in pairs], used)
-    c, crow = _ragged([others[i] for i in pairs], used)
+    b, prow = _ragged([xs[i] for i in pairs])
+    c, crow = _ragged([others[i] for i in pairs])
     b, prow, psign = np.r_[b, c], np.r_[prow, crow], np.r_[np.ones(len(b)), -np.ones(len(c))]
     balance = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0)) ** 0.5
     w, bias, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -170,9 +182,16 @@ def train(xs, ys, others, lam: float = LAMBDA, steps: int = STEPS) -> tuple[dict
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", lam: float = LAMBDA) -> tuple[dict, float]:
-    got = training_sample(docs, labels, label).toArrow().sort_by("id")
+    """A model of some thousand weights at most; without documents of either label it is a constant."""
+    sample = training_sample(docs, labels, label)
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if toxic in (0, n):
+        return {}, 5.0 if toxic else -5.0
+    found = significant_slots(sample, n, toxic)
+    used = found["slot"].to_numpy()
+    got = slot_places(sample, used)
     lists = lambda c: [None if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in got[c]]
-    return train(lists("x"), got["y"].to_numpy(), lists("other"), lam)
+    return train(lists("x"), got["y"].to_numpy(), lists("other"), used, found["ratio"].to_numpy(), lam)
 
 
 def score(docs: DataFrame, model: tuple[dict, float]) -> DataFrame:

@@ -49,18 +49,13 @@ def test_held_out_accuracy(spark, documents):
     assert auc(y, s) > 0.99 and ((s >= 0.5) == y).mean() > 0.97
 
 
-def test_naming_a_group_alone_moves_little():
+def test_naming_a_group_alone_moves_little(spark, documents):
     rows = corpus(insulted=0.6)
-    features = toxicity.Features()
-    xs, ys, others = [], [], []
-    for _, t, y in rows:
-        x, named = features.slots(t)
-        xs.append(x)
-        ys.append(y)
-        others.append(features.slots(t, swap=True)[0] if named else None)
+    docs = documents([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y, None) for i, _, y in rows], LABELS)
 
     def gap(lam):
-        hot, bias = toxicity.train(xs, ys, others, lam=lam)
+        hot, _ = toxicity.fit(docs, labels, lam=lam)
         scorer = toxicity.Features(hot)
         z = lambda t: sum(hot[b][k] for b, k in scorer.levels(t)[0].items())
         neutral = "w1 w2 w3 w4 the women w5 w6 w7"
