@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Attributes, whose quoted values may hold a ">"; beyond these lengths the next ">" ends the tag, which keeps scanning linear.
+_ATTRS = r"(?:(?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'){0,100}+(?=>)|[^>]*+)"
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|title|head)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]{0,9999}+\"|'[^']{0,9999}+')*+|[^>]*+)>"
+    rf"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|title)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+_UNCLOSED = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -37,7 +40,8 @@ _SIBLINGS = [
     (frozenset(["tr"]), frozenset(["table", "tbody", "thead", "tfoot"])),
     (frozenset(["option"]), frozenset(["select"])),
 ]
-_SKIPPED_TAGS = frozenset("nav aside form footer button menu dialog fieldset audio video map".split())
+_HEAD = frozenset("meta link base title style script noscript template".split())
+_SKIPPED_TAGS = frozenset("head nav aside form footer button menu dialog fieldset audio video map".split())
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _SKIPPED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
@@ -45,16 +49,18 @@ _SKIPPED_NAMES = re.compile(
     r"recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|site-?header|page-?header|masthead|topbar|pagination|pager|skip-?link|search|toolbar)(?:$|[\s_-])",
     re.I,
 )
+#: Of a name's parts, "has-sidebar" and the like tell about the page's layout.
+_LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:has|with|without|no|hide|hides)[_-][\w-]*", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。、，！？]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "depth", "skipped", "main", "weight")
+    __slots__ = ("tag", "parent", "path", "depth", "skipped", "main", "form", "weight")
 
     def __init__(self, tag, parent, path, skipped, main):
-        self.tag, self.parent, self.path, self.skipped, self.main = tag, parent, path, skipped, main
+        self.tag, self.parent, self.path, self.skipped, self.main, self.form = tag, parent, path, skipped, main, False
         self.depth, self.weight = (parent.depth + 1 if parent else 0), 0.0
 
 
@@ -67,7 +73,7 @@ def _skipped(tag: str, attrs: str, inside_main: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _SKIPPED_ROLES:
             return True
-        if name in ("class", "id") and _SKIPPED_NAMES.search(value) or name == "style" and _HIDDEN.search(value):
+        if name in ("class", "id") and _SKIPPED_NAMES.search(_LAYOUT_NAMES.sub(" ", value)) or name == "style" and _HIDDEN.search(value):
             return True
     return False
 
@@ -99,14 +105,18 @@ def blocks(html: str):
             if links:
                 linked += len(text.strip())
 
-    at = 0
-    for m in _TAG.finditer(html):
+    at, end = 0, html.rfind(">") + 1
+    for m in _TAG.finditer(html, 0, end):
         say(html[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
+            if at == end and (m[0].startswith("<!--") and not m[0].endswith("-->") or m["raw"] and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I)):
+                at = len(html)  # unclosed: it takes all that follows
             continue
         tag = tag.lower()
+        if stack[-1].tag == "head" and not m["close"] and tag not in _HEAD:
+            stack.pop()
         if tag == "br":
             say(" ")
         elif tag in _VOID:
@@ -146,8 +156,13 @@ def blocks(html: str):
             path = paths.setdefault((top.path, tag), len(paths) + 1)
             attrs = m["attrs"]
             main = top.main or tag in ("article", "main")
-            stack.append(_Node(tag, top, path, top.skipped or _skipped(tag, attrs, top.main), main))
-    say(html[at:].partition("<")[0] if re.match(r"[^<]*<[a-zA-Z/!?][^<>]*\Z", html[at:]) else html[at:])
+            wraps = tag == "main" or tag == "article" and top.form  # what only a form around the whole page would hide
+            skipped = _skipped(tag, attrs, top.main)
+            node = _Node(tag, top, path, skipped or top.skipped and not wraps, main)
+            node.form = not wraps and (tag == "form" or top.form and not skipped)
+            stack.append(node)
+    rest = _UNCLOSED.search(html, max(at, end))
+    say(html[at : rest.start() if rest else len(html)])
     flush()
     return out
 
