@@ -90,3 +90,31 @@ def test_small_table_against_brute_force(spark):
 
 def test_empty_table(documents):
     assert simhash.near_groups(documents([])).count() == 0
+
+
+def test_cyclic_triples_share_at_most_one_position():
+    sets = simhash.cyclic_triples()
+    assert len(set(map(frozenset, sets))) == len(sets) == 96
+    assert all(len(set(a) & set(b)) <= 1 for a, b in combinations(sets, 2))
+
+
+def test_near_copies_go_and_clean_documents_stay(documents):
+    r = random.Random(5)
+    rows, copies = [], set()
+    for i in range(120):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randrange(150, 600))]
+        rows.append((10 * i + 5, " ".join(words)))
+        for k in range(r.randrange(3)):
+            near = list(words)
+            for _ in range(max(1, len(words) // 150)):
+                near[r.randrange(len(near))] = "edit"
+            rows.append((10 * i + 6 + k, " ".join(near)))
+            copies.add(10 * i + 6 + k)
+    rows += [(None, rows[0][1]), (9000, None), (9001, ""), (9002, " ")]
+    df = documents(rows, clash=True)
+    out = simhash.drop_near_copies(df)
+    assert out.columns == df.columns
+    kept = {x["doc_id"] for x in out.select("doc_id").collect()}
+    assert {i for i, _ in rows} - copies <= kept
+    assert len(kept & copies) <= 0.02 * len(copies)
+    assert simhash.drop_near_copies(documents([])).count() == 0
