@@ -224,8 +224,8 @@ def _resolve(batches):
         yield _found([pending[2]], [pending[3]], [pending[3]], [pending[0]])
 
 
-def two_stage(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """Suffix array of bytes, ordered by the first `depth` bytes at least.
+def two_stage(text: np.ndarray, depth: int = WIDTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffix array of bytes, ordered by the first `depth` bytes at least; of the `wanted` suffixes (a mask), if given.
 
     Stage one sorts the suffixes that are smaller than their successors.  Stage two scans the buckets of first bytes
     from the smallest: each suffix met there puts its predecessor, if that is larger than it, next in its own bucket.
@@ -239,16 +239,24 @@ def two_stage(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     smaller = np.zeros(n, bool)
     inside = at < len(turns)
     smaller[inside] = rise[turns[at[inside]]] > 0
+    used = np.ones(n, bool)
+    if wanted is not None:  # and those that these are induced from: the run after each up to one that is sorted directly
+        at = np.arange(n)
+        last = np.maximum.accumulate(np.where(wanted, at, -1))
+        stop = np.r_[-1, np.maximum.accumulate(np.where(smaller, at, -1))[:-1]]
+        used = last > stop
+        used[-1] = True
     data = text.tobytes()
-    direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    direct = np.array(sorted(np.flatnonzero(smaller & used).tolist(), key=lambda i: data[i : i + depth]), np.int64)
     bounds = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, int)
+    induce = used & ~smaller
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[text[-1]].append(np.array([n - 1]))
     out = []
 
     def predecessors(suffixes: np.ndarray, c: int) -> np.ndarray:
         before = suffixes[suffixes > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induce[before]]
         first = text[before]
         same = before[first == c]
         before, first = before[first != c], first[first != c]
@@ -268,7 +276,8 @@ def two_stage(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
         if len(tail):
             out.append(tail)
             predecessors(tail, c)
-    return np.concatenate(out)
+    order = np.concatenate(out)
+    return order if wanted is None else order[wanted[order]]
 
 
 def repeated_windows(contexts: list[bytes], docs: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
@@ -278,15 +287,15 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, offsets: np.ndarra
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(contexts)), sizes)
     local = np.arange(len(text)) - (ends - sizes)[owner]
-    suffixes = two_stage(text, width)
-    suffixes = suffixes[local[suffixes] + width <= sizes[owner[suffixes]] - 1]
+    suffixes = two_stage(text, width, local + width <= sizes[owner] - 1)
     if len(suffixes) < 2:
         return (np.empty(0, np.int64),) * 3
     common = np.empty(len(suffixes), np.int64)  # length of the prefix shared with the suffix before, up to width
     common[0] = 0
-    for a in range(1, len(suffixes), 1 << 15):
-        b = min(len(suffixes), a + (1 << 15))
-        rows = text[suffixes[a - 1 : b][:, None] + np.arange(width)]
+    windows = np.lib.stride_tricks.sliding_window_view(text, width)
+    for a in range(1, len(suffixes), 1 << 13):
+        b = min(len(suffixes), a + (1 << 13))
+        rows = windows[suffixes[a - 1 : b]]
         differ = rows[1:] != rows[:-1]
         common[a:b] = np.where(differ.any(1), differ.argmax(1), width)
     starts = np.flatnonzero(common < width)

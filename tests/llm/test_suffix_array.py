@@ -86,6 +86,9 @@ def test_long_texts_are_cut_with_overlap(documents, monkeypatch):
 def test_two_stage_sorts_suffixes(data):
     got = suffix_array.two_stage(np.frombuffer(data, np.uint8), 400)
     assert got.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    wanted = np.arange(len(data)) % 7 < 3
+    got = suffix_array.two_stage(np.frombuffer(data, np.uint8), 400, wanted)
+    assert got.tolist() == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: data[i:])
 
 
 def test_small_table_against_brute_force(spark):
