@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LANGUAGES = """
-ada: adb ads | bash: bash sh | batch: bat cmd | c: c h | clojure: clj cljs | cpp: cc cpp cxx hh hpp hxx | csharp: cs | css: css | csv: csv
-dart: dart | diff: diff patch | dockerfile: dockerfile | elixir: ex exs | erlang: erl | go: go | graphql: gql graphql | groovy: gradle groovy
-haskell: hs lhs | hcl: tf tfvars | html: htm html | ini: conf ini | java: java | javascript: cjs js mjs | json: json | jsx: jsx | julia: jl
-kotlin: kt kts | less: less | lisp: cl el lisp | lua: lua | markdown: markdown md | nim: nim | objectivec: m mm | ocaml: ml mli
-pascal: pas pp | perl: pl pm | php: php | powershell: ps1 | protobuf: proto | python: py pyw | r: r | ruby: rb | rust: rs | sass: sass
-scala: scala | scss: scss | sql: sql | svelte: svelte | swift: swift | text: log txt | toml: toml | tsv: tsv | tsx: tsx | typescript: ts
-v: v | vala: val | vue: vue | wasm: wasm | xml: svg xml | yaml: yaml yml | zig: zig | zsh: zsh
-"""
-_FILES = """
-bash: .bash_profile .bashrc .env | dockerfile: dockerfile | gitconfig: .gitmodules | gitignore: .gitignore | gomod: go.mod | gosum: go.sum
-groovy: jenkinsfile | ini: .editorconfig .npmrc | json: composer.json package.json tsconfig.json | makefile: makefile
-ruby: gemfile rakefile vagrantfile | toml: cargo.toml | vim: .vimrc | yaml: procfile | zsh: .zshrc
-"""
-_INTERPRETERS = "bash: bash sh | javascript: node nodejs | lua: lua | makefile: make | perl: perl | php: php | python: python python2 python3 | ruby: ruby | zsh: zsh"
-
-
-def _table(text: str) -> dict[str, str]:
-    entries = (x.split(":") for x in re.split(r"[|\n]", text) if x.strip())
-    return {name: key.strip() for key, names in entries for name in names.split()}
-
-
-LANGUAGE_BY_EXTENSION, LANGUAGE_BY_FILE, LANGUAGE_BY_INTERPRETER = _table(_LANGUAGES), _table(_FILES), _table(_INTERPRETERS)
+# The language of a file extension, of a whole file name, and of a script's interpreter.
+LANGUAGE_BY_EXTENSION = {
+    "go": "go", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp",
+    "cs": "csharp", "m": "objectivec", "mm": "objectivec", "swift": "swift", "val": "vala", "v": "v", "zig": "zig", "jl": "julia",
+    "hs": "haskell", "lhs": "haskell", "ml": "ocaml", "mli": "ocaml", "pas": "pascal", "pp": "pascal", "adb": "ada", "ads": "ada",
+    "cl": "lisp", "nim": "nim", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "groovy": "groovy",
+    "gradle": "groovy", "clj": "clojure", "cljs": "clojure", "js": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "html": "html", "htm": "html", "css": "css", "scss": "scss", "sass": "sass",
+    "less": "less", "vue": "vue", "svelte": "svelte", "wasm": "wasm", "py": "python", "pyw": "python", "rb": "ruby", "php": "php",
+    "lua": "lua", "pl": "perl", "pm": "perl", "r": "r", "dart": "dart", "el": "lisp", "lisp": "lisp", "erl": "erlang",
+    "ex": "elixir", "exs": "elixir", "sh": "bash", "bash": "bash", "zsh": "zsh", "ps1": "powershell", "bat": "batch",
+    "cmd": "batch", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "xml": "xml", "svg": "xml", "ini": "ini",
+    "conf": "ini", "md": "markdown", "markdown": "markdown", "csv": "csv", "tsv": "tsv", "sql": "sql", "graphql": "graphql",
+    "gql": "graphql", "proto": "protobuf", "tf": "hcl", "tfvars": "hcl", "dockerfile": "dockerfile", "diff": "diff",
+    "patch": "diff", "txt": "text", "log": "text",
+}
+LANGUAGE_BY_FILE = {
+    "dockerfile": "dockerfile", "makefile": "makefile", "jenkinsfile": "groovy", "rakefile": "ruby", "gemfile": "ruby",
+    "vagrantfile": "ruby", "procfile": "yaml", "go.mod": "gomod", "go.sum": "gosum", "package.json": "json",
+    "tsconfig.json": "json", "composer.json": "json", "cargo.toml": "toml", ".gitignore": "gitignore",
+    ".gitmodules": "gitconfig", ".bashrc": "bash", ".bash_profile": "bash", ".zshrc": "zsh", ".vimrc": "vim", ".npmrc": "ini",
+    ".editorconfig": "ini", ".env": "bash",
+}
+LANGUAGE_BY_INTERPRETER = {
+    "bash": "bash", "sh": "bash", "zsh": "zsh", "python": "python", "python2": "python", "python3": "python",
+    "node": "javascript", "nodejs": "javascript", "ruby": "ruby", "perl": "perl", "php": "php", "lua": "lua", "make": "makefile",
+}
 
-#: Formats by extension: name, kind, MIME type.
+# Formats by extension (name, kind, MIME type), suffixes of archives and documents, types of documents.
 FORMATS = {
     "png": ("png", "image", "image/png"), "jpg": ("jpeg", "image", "image/jpeg"), "jpeg": ("jpeg", "image", "image/jpeg"),
     "gif": ("gif", "image", "image/gif"), "bmp": ("bmp", "image", "image/bmp"), "tif": ("tiff", "image", "image/tiff"),
