@@ -125,12 +125,27 @@ class Rule:
         if self.base and self.base != ".":
             if path == self.base:
                 path = "."
-            elif path.startswith(self.base + "/"):
-                path = path[len(self.base) + 1 :]
+            elif path.startswith(above := self.base.rstrip("/") + "/"):
+                path = path[len(above) :]
             else:
                 return False
         return re.match(regex, path if self.whole_path else posixpath.basename(path)) is not None
 
+    def reaches(self, folder: str) -> bool:
+        """Whether the rule could match something below a directory: its leading segments fit the directory's."""
+        if not self.whole_path:
+            return True
+        parts = self.body.split("/")
+        for name, part in zip(folder.split("/"), parts):
+            if part == "**":
+                return True
+            try:
+                if not re.match(glob_regex(part) if _SPECIAL & set(part) else "^" + re.escape(part) + "$", name):
+                    return False
+            except GlobError:
+                return True  # braces across segments
+        return len(parts) > folder.count("/") + 1
+
     def column(self, path: Column, is_dir: Column) -> Column:
         if (regex := self.regex()) is None:
             return F.lit(False)
