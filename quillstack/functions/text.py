@@ -66,7 +66,7 @@ def plural(n: Column, one: str, many: str) -> Column:
 def humanize(size: Column) -> Column:
     """1000-based size with one decimal, as printf's %.1f of the binary quotient gives it."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+    for power, unit in enumerate(("kB", "MB", "GB", "TB", "TB", "TB"), 1):
         tenths = _tenths(size.cast("double") / F.lit(float(1000**power)))
         text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(f" {unit}"))
         out = F.when(size >= 1000**power, text).otherwise(out)
