@@ -89,6 +89,19 @@ def detect_language(path: Column, content: Column | None = None) -> Column:
     return F.coalesce(found, F.lit(""))
 
 
+def language_of(path: str, text: str) -> str:
+    """detect_language() of one file."""
+    base = path.rpartition("/")[2].lower()
+    extension_ = base.rpartition(".")[2] if "." in base else None
+    found = LANGUAGE_BY_FILE.get(base) or ("dockerfile" if base.startswith("dockerfile.") else None) or LANGUAGE_BY_EXTENSION.get(extension_)
+    if not found and text.startswith("#!"):
+        words = text[2:1024].partition("\n")[0].split()
+        command = words[0].rpartition("/")[2] if words else ""
+        command = words[1].rpartition("/")[2] if command == "env" and len(words) > 1 else command
+        found = LANGUAGE_BY_INTERPRETER.get(command)
+    return found or ""
+
+
 def format_by_extension(path: Column, part: int = 0) -> Column:
     """Name (0), kind (1) or MIME type (2) of the media format that the extension names; null for none."""
     return _look_up({k: v[part] for k, v in FORMATS.items()}, extension(path))

@@ -563,3 +563,6 @@ def bundle_sections(spark, sf_dir):
     )
     full = sections.separators(full)
     return full.select("item_seq", "section", F.concat("sep_before", F.when(F.col("kind") == "section", p.section()).otherwise(p.file())).alias("item"))
+
+
+from . import content_queries  # noqa: E402, F401  registers the queries on file contents

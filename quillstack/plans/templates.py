@@ -27,6 +27,14 @@ CONTEXTS = {
 }
 
 
+# Partials that file templates may call where a configuration has none of its own.
+DEFAULT_PARTIALS = {
+    "file_header": "{{ if gt .Section.TotalFiles 1 }}[{{ .SectionFileIndex }}/{{ .Section.TotalFiles }}] {{ end }}{{ .Path }}",
+    "file_binary": "{{ .Path }} - binary file skipped ({{ .Size | humanize }})",
+    "file_content": "{{ .Content | endNewline }}",
+}
+
+
 class TemplateError(ValueError):
     pass
 
@@ -174,7 +182,11 @@ class Template:
 
     def _branch(self, word, text, tokens, i):
         condition = self._pipeline(_words(text))
+        outer = self.schema
+        if word in ("with", "range"):
+            self.schema = None  # the dot is another one there
         then, i, ended = self._block(tokens, i)
+        self.schema = outer
         other = []
         if ended.startswith("else"):
             rest = ended[4:].strip()
@@ -322,5 +334,6 @@ def compile_templates(config: dict[str, str]) -> dict[str, Template]:
     unknown = set(sources) - set(CONTEXTS)
     if unknown:
         raise TemplateError(f"unknown template {sorted(unknown)[0]!r}")
-    partials = {k: sources[k] for k in ("file_header", "file_content", "file_binary") if k in sources}
-    return {k: Template(v, CONTEXTS[k], {p: s for p, s in partials.items() if p != k}, STATS_FUNCTIONS if k == "stats" else None, k) for k, v in sources.items()}
+    partials = DEFAULT_PARTIALS | {k: sources[k] for k in ("file_header", "file_content", "file_binary") if k in sources}
+    own = lambda k: {p: s for p, s in partials.items() if p != k} if k.startswith("file_") else {}
+    return {k: Template(v, CONTEXTS[k], own(k), STATS_FUNCTIONS if k == "stats" else None, k) for k, v in sources.items()}

@@ -91,6 +91,11 @@ def test_template_errors_come_before_rendering(source):
         t.compile_templates({"file_content_template": source})
 
 
+def test_partials_and_other_dots_are_known():
+    made = t.compile_templates({"file_compact_template": '{{ template "file_header" . }}{{ with .Section }}:{{ .Index }}{{ end }}'})
+    assert made["file_compact"]({"Path": "p", "SectionFileIndex": 2, "Section": {"TotalFiles": 3, "Index": 1}}) == "[2/3] p:1"
+
+
 def test_dates_and_sizes():
     from datetime import datetime
 
