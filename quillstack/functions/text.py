@@ -12,26 +12,37 @@ _WORD, _BLANK = "[A-Za-z0-9_]+", r"[ \t\r\x0B\f]+"
 
 
 def _scan(latin: Column) -> Column:
-    """Tokens of bytes given as ISO-8859-1 text, in integer hundredths."""
+    """Tokens of bytes given as ISO-8859-1 text, in integer hundredths.
+
+    Only the first replacement reads the whole text: with each word as one "w", the rest is a third as long.
+    """
     total = F.length(latin).cast("long")
-    without = lambda pattern: F.length(F.regexp_replace(latin, pattern, "")).cast("long")
-    runs = lambda pattern: F.regexp_count(latin, F.lit(pattern)).cast("long")
-    words, blanks, high = total - without(_WORD), total - without(_BLANK), total - without("[\\x80-\\xFF]+")
-    breaks = total - F.length(F.replace(latin, F.lit("\n"), F.lit(""))).cast("long")
-    symbols = total - words - blanks - high - breaks
-    extra = F.greatest(F.lit(0), words - 4 * runs(_WORD)) * 100
-    hundredths = 100 * runs(_WORD) + F.floor(extra / 4).cast("long") + 55 * symbols + 30 * runs(_BLANK) + 100 * breaks + 50 * high
+    short = F.regexp_replace(latin, _WORD, "w")
+    length = F.length(short).cast("long")
+    without = lambda pattern: length - F.length(F.regexp_replace(short, pattern, "")).cast("long")
+    single = lambda c: length - F.length(F.replace(short, F.lit(c), F.lit(""))).cast("long")
+    runs, breaks = single("w"), single("\n")
+    words = total - length + runs
+    blanks, high = without(_BLANK), without("[\\x80-\\xFF]+")
+    symbols = length - runs - blanks - high - breaks
+    extra = F.floor(F.greatest(F.lit(0), words - 4 * runs) * 100 / 4).cast("long")
+    hundredths = 100 * runs + extra + 55 * symbols + 30 * F.regexp_count(short, F.lit(_BLANK)).cast("long") + 100 * breaks + 50 * high
     return F.floor(hundredths / 100).cast("long")
 
 
 def token_estimate(content: Column, size: Column | None = None) -> Column:
-    """Estimated tokens of a text or binary column; long content is judged by its head and tail."""
+    """Estimated tokens of a text or binary column; long content is judged by its head and tail.
+
+    The scans stand outside conditions, where the code generator shares their common parts.
+    """
     data = F.coalesce(content.cast("binary"), F.lit(b""))
     n = F.octet_length(data).cast("long")
-    latin = F.decode(data, "ISO-8859-1")
-    sampled = (_scan(F.substring(latin, 1, SAMPLE_HEAD)) + _scan(F.substring(latin, -SAMPLE_TAIL, SAMPLE_TAIL))) * n
-    sample = F.floor(sampled / (SAMPLE_HEAD + SAMPLE_TAIL)).cast("long")
-    return F.when(n == 0, size_tokens(size if size is not None else F.lit(0))).when(n <= SAMPLE_ABOVE, _scan(latin)).otherwise(sample)
+    latin, long_ = F.decode(data, "ISO-8859-1"), n > SAMPLE_ABOVE
+    head = F.substring(latin, F.lit(1), F.when(long_, SAMPLE_HEAD).otherwise(SAMPLE_ABOVE))
+    tail = F.substring(latin, F.lit(-SAMPLE_TAIL), F.when(long_, SAMPLE_TAIL).otherwise(0))
+    scale, whole = F.when(long_, n).otherwise(1), F.when(long_, SAMPLE_HEAD + SAMPLE_TAIL).otherwise(1)
+    seen = F.floor((_scan(head) + _scan(tail)) * scale / whole).cast("long")
+    return seen + F.when(n == 0, size_tokens(size if size is not None else F.lit(0))).otherwise(0)
 
 
 def size_tokens(size: Column) -> Column:
