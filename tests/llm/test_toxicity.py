@@ -72,6 +72,15 @@ def test_labels_of_the_held_out_fold_change_nothing(spark, documents):
     assert of(False) == of(True)
 
 
+def test_the_sample_is_bounded_and_takes_the_smallest_hashes(spark, documents):
+    rows = [(i, f"w{i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), None) for i, _ in rows], LABELS)
+    whole = {x["id"]: x["y"] for x in toxicity.training_sample(documents(rows), labels).collect()}
+    part = {x["id"]: x["y"] for x in toxicity.training_sample(documents(rows), labels, per_label=(200, 100)).collect()}
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
+    assert sum(part.values()) == 100 and len(part) == 300 and part.items() <= whole.items()
+
+
 def test_edges(spark, documents):
     rows = corpus(200)
     docs = documents([(i, t) for i, t, _ in rows])
