@@ -275,16 +275,21 @@ class Bundle:
     def text(self) -> str:
         return "".join(text for text, _, _ in self.pieces())
 
-    def write(self, path: str | None = None) -> dict:
-        """Writes the document to a file (replaced only on success) or standard output; returns the report."""
+    def write(self, path: str | None = None, to=None, also=None) -> dict:
+        """Writes the document to a file (replaced only on success) or to a text stream; returns the report.
+
+        `also` is a function that gets the whole document instead, as a clipboard needs it.
+        """
         report = {"TotalRows": 0, "BinaryFiles": 0, "FailedFiles": 0, "TotalWrittenBytes": 0, "WrittenTokenEstimate": 0, "TotalSections": 0, "SkippedBySize": self.skipped_by_size}
         path = path or self.output
-        target = tempfile.NamedTemporaryFile("wb", dir=os.path.dirname(path) or ".", delete=False) if path else sys.stdout.buffer
+        target = tempfile.NamedTemporaryFile("wb", dir=os.path.dirname(path) or ".", delete=False) if path else None
+        held: list[str] = []
+        say = held.append if also else (to or sys.stdout).write
         seen: set[int] = set()
         try:
             for text, tokens, row in self.pieces():
                 data = text.encode("utf-8", "replace")
-                target.write(data)
+                target.write(data) if target else say(text)
                 report["TotalWrittenBytes"] += len(data)
                 report["WrittenTokenEstimate"] += tokens
                 if row:
@@ -300,6 +305,8 @@ class Bundle:
                 target.close()
                 os.unlink(target.name)
             raise
+        if also:
+            also("".join(held))
         totals = self.plan().first()
         return report | {"TotalFiles": totals["total_files"], "TotalSize": totals["total_size"], "SizeUnknown": totals["size_unknown"], "TokenEstimate": totals["token_estimate"], "TotalSections": len(seen)}
 
