@@ -23,6 +23,7 @@ from ..functions.convert import document_text
 from ..functions.text import token_estimate
 from ..operators import sections as layout
 from ..operators import tree
+from ..operators.lineage import numbered
 from ..sources import inputs
 from ..sources.walk import read_stream
 from ..sources.web import fetch
@@ -317,6 +318,22 @@ class Bundle:
         out.repartitionByRange("position").sortWithinPartitions("position").select("value").write.option("lineSep", "\n").text(folder)
 
 
+def items_of_files(files: DataFrame, render: Render = Render()) -> DataFrame:
+    """Items (ITEMS) of a table of files as walk_files() gives it, in walk order, without listing them on the driver.
+
+    Files over the size limit are left out; what could not be listed becomes a failure.
+    """
+    if render.max_size > 0:
+        files = files.where((F.col("size") <= render.max_size) | F.col("failure").isNotNull())
+    rows = numbered(files.withColumn("_key", F.split("path", "/")), [F.col("_key"), F.col("abs_path")], "position")
+    none = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    options = F.struct(*[F.lit(v).cast("boolean" if isinstance(v, bool) else "long").alias(k) for k, v in asdict(render).items()])
+    return rows.select(
+        "position", F.when(F.col("failure").isNull(), "file").otherwise("failure").alias("kind"), none("body"), "path", "abs_path", none("archive"), none("entry"), "size",
+        none("content", "binary"), none("media_type"), "failure", options.alias("render"),
+    )
+
+
 def tree_text(spark: SparkSession, paths: list[str]) -> str:
     """The drawing of a list of paths."""
     if not paths:

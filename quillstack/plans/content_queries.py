@@ -7,6 +7,7 @@ import io
 import struct
 import zipfile
 import zlib
+from dataclasses import asdict
 from html import escape
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import convert, media, skeleton
 from ..sources import archives
+from .arguments import Render
+from .bundle import prepare
 from .catalog import query, read
 from .templates import Template
 
@@ -110,6 +113,38 @@ for _mode in KEPT:
         return skeleton.skeletons(rows, mode != "types", mode != "functions").select("doc_id", "skeleton")
 
 
+SLICE = "# doc {i}\ndef f{i}(a, b={n}):\n... (11 rows skipped)\n    def m(self):\n"
+
+
+def _prepared(rows, render: Render, key: str, wanted: str):
+    """Columns of the content step of files (key, path, content)."""
+    names = [c.split()[0] for c in wanted.split(", ")]
+
+    def run(batches):
+        blank = dict.fromkeys(("abs_path", "media_type", "failure"))
+        for batch in batches:
+            done = [prepare(blank | {"render": asdict(render), "path": p, "content": c, "size": len(c)}, False) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[n] for d in done], pa.string()) for n in names)], [key, *names])
+
+    return rows.mapInArrow(run, f"{key} long, {wanted}")
+
+
+@query("skeleton_slice", f"SELECT doc_id, {_fill(SLICE)} AS text FROM documents")
+def skeleton_slice(spark, sf_dir):
+    text = F.lit(SOURCE)
+    for sign, column in (("{i}", "doc_id"), ("{n}", "n_chars")):
+        text = F.replace(text, F.lit(sign), F.col(column).cast("string"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.lit("a.py").alias("path"), text.cast("binary").alias("content"))
+    return _prepared(rows, Render(head=2, tail=1, functions=True, types=True), "doc_id", "text string")
+
+
+@query("converted_from", "SELECT page_id, 'html' AS converted_from, 'markdown' AS language FROM pages")
+def converted_from(spark, sf_dir):
+    path = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    rows = read(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.col("html").cast("binary").alias("content"))
+    return _prepared(rows, Render(documents=True), "page_id", "converted_from string, language string")
+
+
 @query("template_render", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'long ' ELSE 'short ' END || source || ' ' || format('{:,}', n_chars) AS rendered FROM documents")
 def template_render(spark, sf_dir):
     source = "{{ if gt .N 1000 }}long{{ else }}short{{ end }} {{ .Source }} {{ .N | commafy }}"

@@ -2,8 +2,9 @@ import os
 
 import pytest
 
-from quillstack.plans.bundle import Bundle, Render, sliced, stats_text
+from quillstack.plans.bundle import Bundle, Render, items_of_files, render_items, sliced, stats_text
 from quillstack.plans.templates import TemplateError
+from quillstack.sources.walk import Options, walk_files
 
 from .test_media import png
 from .test_sources import tree, zipped
@@ -106,6 +107,15 @@ def test_parts_hold_the_items_in_order(spark, project, tmp_path):
     assert "".join((tmp_path / "parts" / n).read_text() for n in names).split("\n")[0].startswith("[1/3] a.py")
 
 
+def test_a_walked_table_renders_like_its_list(spark, project):
+    files = walk_files(spark, ".", Options(), str(project))
+    table = render_items(items_of_files(files, Render(head=1, tail=0))).orderBy("position").collect()
+    listed = Bundle.from_arguments(spark, ["--head", "1"], cwd=str(project)).rendered().orderBy("position").collect()
+    assert [r["item"] for r in table] == [r["item"] for r in listed]
+    small = items_of_files(files, Render(max_size=3)).orderBy("position").collect()
+    assert [r["path"] for r in small] == ["data.bin", "empty.txt"]
+
+
 def test_written_tokens_are_summed_per_piece(spark, project):
     bundle = Bundle.from_arguments(spark, ["a.py", "b.txt"], cwd=str(project))
     assert sum(t for _, t, _ in bundle.pieces()) > 0
