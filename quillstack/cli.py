@@ -145,15 +145,14 @@ def main(arguments: list[str], spark=None, cwd: str | None = None, stdin=None, e
         for warning in bundle.warnings:
             log.warning(warning)
         copies = "copy" in settings or config.get("output_mode") == "copy" and not {"stdout", "output"} & set(settings)
+        say = lambda path, failure: log.error("%s: %s", path, failure)
         if bundle.output:
-            report = bundle.write()
+            report = bundle.write(on_failure=say)
         else:
-            report = bundle.write(to=out if not copies else None, also=copy_to_clipboard if copies else None)
+            report = bundle.write(to=out, also=copy_to_clipboard if copies else None, on_failure=say)
     except (ArgumentError, TemplateError, LookupError, OSError, ValueError) as error:
         err.write(f"quillstack: {error}\n")
         return 1
-    for row in bundle.failures().toLocalIterator():
-        log.error("%s: %s", row["path"], row["failure"])
     shown = {"always": True, "never": False}.get(config.get("show_stats"), bool({"copy", "output"} & set(settings)))
     if ("stats" in settings or shown) and "no-stats" not in settings:
         color = "NO_COLOR" not in env and err.isatty()

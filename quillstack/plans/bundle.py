@@ -276,10 +276,11 @@ class Bundle:
     def text(self) -> str:
         return "".join(text for text, _, _ in self.pieces())
 
-    def write(self, path: str | None = None, to=None, also=None) -> dict:
+    def write(self, path: str | None = None, to=None, also=None, on_failure=lambda path, failure: None) -> dict:
         """Writes the document to a file (replaced only on success) or to a text stream; returns the report.
 
-        `also` is a function that gets the whole document instead, as a clipboard needs it.
+        `also` is a function that gets the whole document instead, as a clipboard needs it; `on_failure` is called for
+        each input that could not be read, in order.
         """
         report = {"TotalRows": 0, "BinaryFiles": 0, "FailedFiles": 0, "TotalWrittenBytes": 0, "WrittenTokenEstimate": 0, "TotalSections": 0, "SkippedBySize": self.skipped_by_size}
         path = path or self.output
@@ -297,7 +298,9 @@ class Bundle:
                     seen.add(row["section"])
                     report["TotalRows"] += row["rows"] or 0
                     report["BinaryFiles"] += bool(row["is_binary"])
-                    report["FailedFiles"] += row["kind"] == "failure" or row["read_error"] is not None
+                    if row["kind"] == "failure" or row["read_error"] is not None:
+                        report["FailedFiles"] += 1
+                        on_failure(row["path"], row["failure"] or row["read_error"])
             if path:
                 target.close()
                 os.replace(target.name, path)
