@@ -47,6 +47,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files whose DataFrames are gone; only disk space depends on it."""
     gc.collect()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -87,9 +87,10 @@ def mix(docs: DataFrame, text="text", doc_id="doc_id", source="source", weights=
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed rows themselves: each row of `docs` as many times as mix() says."""
-    chosen = mix(docs, doc_id=doc_id, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(chosen.withColumnRenamed("doc_id", "_id"), F.col(doc_id).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    own, times, copy = (fresh(docs, name) for name in ("own_id", "copies", "copy"))
+    chosen = mix(docs, doc_id=doc_id, **options).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
+    joined = docs.join(chosen, F.col(doc_id).eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ DOCUMENTS = T.StructType(
     ]
 )
 #: Columns that clash with names that the operators use inside.
-CLASHES = ["size", "class", "key", "slice", "node", "text_sha256", "target", "shard", "piece", "kept", "marks", "id", "h", "u"]
+CLASHES = ["size", "class", "key", "slice", "node", "text_sha256", "target", "shard", "piece", "kept", "marks", "id", "h", "u", "copies", "copy", "own_id", "_id", "_copy", "_own_id", "rejected", "y", "place"]
 
 
 @pytest.fixture
