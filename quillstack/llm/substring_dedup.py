@@ -75,7 +75,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     units = cut(source.mapInArrow(explode, "digest binary, doc_id long, start long"))
     rank = F.struct("doc_id", "start")
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("digest", "first")
+    # Materialised, so that the join below is a stage of its own, whose hot digests adaptive execution can split.
+    first = cut(units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("digest", "first"))
     repeats = units.join(first, "digest").where(rank > F.col("first"))
     removed = cut(repeats.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
     joined = source.join(removed, "doc_id", "left").select("doc_id", "text", "starts")
