@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, sorted_runs, stored, table
+from .common import cut, release, sorted_runs, stored, table
 
 WIDTH = 100
 GRAM = 24
@@ -407,7 +407,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     del sent
     release(docs.sparkSession)
     mixed = found.where("key >= 0").select("doc", "key", F.col("start").alias("place"))
-    crowded = mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CONTEXTS).select("key", F.lit(True).alias("crowded"))
+    # Materialised, so that the join below is a stage of its own, whose hot keys adaptive execution can split.
+    crowded = cut(mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CONTEXTS).select("key", F.lit(True).alias("crowded")))
     marks = mixed.join(crowded, "key", "left").groupBy("doc").agg(F.collect_set(F.struct("place", "key", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("marks"))
     pieces = source.join(marks, "doc").mapInArrow(_pieces, PIECE)
     compared = stored(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, FOUND))
