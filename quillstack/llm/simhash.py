@@ -11,8 +11,6 @@ A list under five of eight bytes has at most 2**24 distinct fingerprints, which
 
 from __future__ import annotations
 
-import functools
-import operator
 import re
 from itertools import combinations
 
@@ -22,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, cut, local_stars, table
+from .common import arrow_map, connected_components, cut, local_stars, stored, table
+from .shingle_join import near_components, shingle_sets
 
 #: The contract's 64-bit index: each 5 of 8 positions, for at most 3 differing bits.
 FIVE_OF_EIGHT = tuple(combinations(range(8), 5))
@@ -172,13 +171,15 @@ def cyclic_triples(n: int = 8 * WIDE_LANES, blocks=BLOCKS) -> tuple:
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
     """`docs` with the smallest doc_id of each group of near copies; rows without doc_id stay, as do blank texts'.
 
-    A pair of similarity 0.8 is judged by an estimate from 256 bits and found if it shares three byte positions of one
-    of 96 triples: nearly sure over 0.9, nearly never under 0.65, in between as the bits fall.
+    Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more, computed exactly; groups are
+    closed under such links.  shingle_join finds all of them.
     """
-    prints = cut(fingerprints(docs, text, doc_id, shingle, WIDE_LANES))
-    blank = functools.reduce(operator.and_, [F.col(f"f{k}") == 0 for k in range(WIDE_LANES)])
-    found = components(prints.where(~blank), WIDE_LANES, cyclic_triples(), WIDE_BITS)
-    dropped = found.where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    sets = stored(shingle_sets(docs, text, doc_id, shingle))
+    linked = sets.select("doc_id", "mark", "node").join(near_components(sets), "node", "left")
+    # Equal sets are one node, with links or without.
+    group = F.coalesce("root", "node")
+    least = linked.groupBy(group.alias("root")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
+    dropped = linked.withColumn("root", group).join(least, "root").where("doc_id != least").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
 
 

@@ -118,3 +118,43 @@ def test_near_copies_go_and_clean_documents_stay(documents):
     assert {i for i, _ in rows} - copies <= kept
     assert len(kept & copies) <= 0.02 * len(copies)
     assert simhash.drop_near_copies(documents([])).count() == 0
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_drops(rows):
+    """Ids that exact similarities of 0.8 or more drop, by all pairs."""
+    sets, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if 9 * both >= 4 * (len(sets[a]) + len(sets[b])) > 0:
+            x, y = sorted((find(a), find(b)), key=lambda k: rows[k][0])
+            root[y] = x
+    return {rows[k][0] for k in range(len(rows)) if rows[find(k)][0] != rows[k][0]}
+
+
+def test_near_copies_are_judged_by_exact_similarity(documents):
+    """Pairs around 0.8, short and long: none at 0.8 or more is missed, none below is dropped."""
+    r = random.Random(11)
+    rows = []
+    for i in range(400):
+        size = r.choice([9, 13, 14, 40, 100, 300, 900])
+        words = [f"w{r.randrange(100_000)}" for _ in range(size)]
+        rows.append((2 * i, " ".join(words)))
+        near, n = list(words), size - 4
+        kept = int(n * r.uniform(0.8, 0.97))  # shingles left when the end is another
+        near[kept + 4 :] = [f"x{r.randrange(100_000)}" for _ in range(n - kept)]
+        rows.append((2 * i + 1, " ".join(near)))
+    want = brute_drops(rows)
+    assert 50 < len(want) < 350
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(documents(rows)).select("doc_id").collect()}
+    assert {i for i, _ in rows} - kept == want
