@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that part words in every contract of this subpackage.
@@ -55,6 +55,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, dropped: DataFrame, doc_id: str, mark: Column) -> DataFrame:
+    """`df` without the rows whose doc_id and mark are in `dropped` (doc_id, mark); rows of the same doc_id with another mark stay."""
+    name = fresh(df, "mark")
+    gone = dropped.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(name)).distinct()
+    return df.withColumn(name, mark).join(gone, [doc_id, name], "left_anti").select(df.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files whose DataFrames are gone; only disk space depends on it."""
     gc.collect()

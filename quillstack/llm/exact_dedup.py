@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, table, without
 
 #: Share of the rows above which a digest is heavy; at most 1/SUPPORT winners are broadcast (about 200 kB).
 SUPPORT = 1 / 2000
@@ -44,8 +44,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", su
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` without the rows that exact_groups() drops; rows without a doc_id stay."""
-    dropped = exact_groups(docs, text, doc_id).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+    dropped = exact_groups(docs, text, doc_id).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_sha256").alias("mark"))
+    return without(docs, dropped, doc_id, F.sha2(normalised(F.col(text)), 256))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

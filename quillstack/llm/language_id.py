@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 LANGUAGES = ("de", "en", "es", "fr")
 SLOTS = 1 << 16
@@ -190,8 +190,12 @@ def identify_documents(docs: DataFrame, model, languages=LANGUAGES) -> DataFrame
 
 def keep_identified(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
     """`docs` without the documents that are rejected; rows without doc_id stay."""
-    rejected = identify_documents(docs, fit(docs, languages=languages), languages).where("NOT accepted AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    # Judged by all that is read of a row, as rows of one doc_id may differ.
+    mark = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", "lang", "source"))
+    judged = identify_documents(docs.select(mark.alias("doc_id"), "text", "lang", "source"), fit(docs, languages=languages), languages)
+    name = fresh(docs, "mark")
+    rejected = judged.where("NOT accepted AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, mark).join(rejected, name, "left_anti").select(docs.columns)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

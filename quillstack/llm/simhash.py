@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, cut, local_stars, stored, table
+from .common import arrow_map, connected_components, cut, local_stars, stored, table, without
 from .shingle_join import near_components, shingle_sets
 
 #: The contract's 64-bit index: each 5 of 8 positions, for at most 3 differing bits.
@@ -179,8 +179,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     # Equal sets are one node, with links or without.
     group = F.coalesce("root", "node")
     least = linked.groupBy(group.alias("root")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
-    dropped = linked.withColumn("root", group).join(least, "root").where("doc_id != least").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+    dropped = linked.withColumn("root", group).join(least, "root").where("doc_id != least").select("doc_id", "mark")
+    return without(docs, dropped, doc_id, F.xxhash64(F.col(text)))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -114,3 +114,18 @@ def test_entry_registers_every_operator():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("stage", [x[1] for x in corpus_pipeline.STAGES[:3]], ids=[x[0] for x in corpus_pipeline.STAGES[:3]])
+def test_other_texts_of_a_dropped_id_stay(spark, documents, stage):
+    r = random.Random(2)
+    words = "the and of to in that is with for this".split()
+    first, other = (" ".join(r.choice(words) + str(r.randrange(9)) for _ in range(60)) for _ in range(2))
+    rows = [(1, first, "en", "a"), (5, first, "en", "a"), (5, other, "en", "a"), (6, "1 2 3", "en", "a"), (6, other + " once more", "en", "a")]
+    got = Counter((x["doc_id"], x["text"]) for x in stage(spark, documents(rows, clash=True), "").collect())
+    assert got[1, first] == 1
+    assert got[5, other] == 1
+    if stage is corpus_pipeline.language:
+        assert got[6, "1 2 3"] == 0 and got[6, other + " once more"] == 1
+    else:
+        assert got[5, first] == 0
