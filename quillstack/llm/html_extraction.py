@@ -40,6 +40,8 @@ _SIBLINGS = [
     (frozenset(["tr"]), frozenset(["table", "tbody", "thead", "tfoot"])),
     (frozenset(["option"]), frozenset(["select"])),
 ]
+#: Elements that hold one block of an article, never the article.
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote caption figcaption summary address".split())
 _HEAD = frozenset("meta link base title style script noscript template".split())
 _SKIPPED_TAGS = frozenset("head nav aside form footer button menu dialog fieldset audio video map".split())
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -199,7 +201,9 @@ def main_text(html: str, inside: float = 0.8, bar: float = 0.25) -> str:
         while node and node not in holders:
             holders.add(node)
             node = node.parent
-    article = max((n for n in holders if n.weight >= inside * total), key=lambda n: n.depth)
+    article = max((n for n in holders if n.weight >= inside * total and n.tag not in _BLOCKS), key=lambda n: n.depth)
+    while article.parent and article.parent.weight > article.weight and article.tag not in ("article", "main", "body"):
+        article = article.parent  # blocks beside it hold content, too
     up = article
     while up:  # the outermost <article> or <main> around it, if there is one
         if up.tag in ("article", "main"):

@@ -97,3 +97,9 @@ def test_small_table(spark):
         want = [" ".join(markup.unescape(re.sub("<[^>]+>", "", p.replace("<br>", " "))).split()) for p in parts]
         assert x["text"] == "\n".join(p for p in want if p)
         assert x["n_chars"] == len(x["text"])
+
+
+@pytest.mark.parametrize("page", ["<body><div><h1>T</h1><p>{0}</p><p>Short, too.</p></div></body>", "<body><div><h1>T</h1><section><p>{0}</p></section><section><p>Short, too.</p></section></div></body>"])
+def test_one_dominant_block_hides_no_other(page):
+    long = "A long paragraph, with commas and stops. " * 60
+    assert html_extraction.main_text(page.format(long)) == f"T\n{long.strip()}\nShort, too."
