@@ -169,6 +169,21 @@ def blocks(html: str):
     return out
 
 
+def _list_of(node):
+    while node and node.tag not in ("ul", "ol", "menu"):
+        node = node.parent
+    return node
+
+
+def _menus(found) -> frozenset:
+    """Lists like menus: several items, all of them short links without punctuation."""
+    items: dict = {}
+    for text, node, link in found:
+        if (holder := _list_of(node)) is not None:
+            items.setdefault(holder, []).append(link >= 0.9 and len(text) <= 30 and not _PUNCTUATION.search(text))
+    return frozenset(holder for holder, short in items.items() if len(short) > 1 and all(short))
+
+
 def main_text(html: str, inside: float = 0.8, bar: float = 0.25) -> str:
     """The article's blocks joined by line breaks."""
     found = blocks(html)
@@ -210,13 +225,16 @@ def main_text(html: str, inside: float = 0.8, bar: float = 0.25) -> str:
             article = up
         up = up.parent
     whole = article.main or article.tag not in ("", "html", "body")
+    menus = _menus(found) if article.main else frozenset()
     kept = []
     for text, node, link in found:
-        content = best[node.path] >= limit or re.fullmatch(r"h[1-6]", node.tag) is not None
+        heading = re.fullmatch(r"h[1-6]", node.tag) is not None
+        content = best[node.path] >= limit
         up = node
         while up and up is not article:
             up = up.parent
-        if up and (whole and link < 0.9 or content and link < 0.5):
+        linked = link >= 0.9 and (not article.main or _list_of(node) in menus)
+        if up and (heading or whole and not linked or content and link < 0.5):
             kept.append(text)
     return "\n".join(kept)
 

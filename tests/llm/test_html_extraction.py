@@ -103,3 +103,11 @@ def test_small_table(spark):
 def test_one_dominant_block_hides_no_other(page):
     long = "A long paragraph, with commas and stops. " * 60
     assert html_extraction.main_text(page.format(long)) == f"T\n{long.strip()}\nShort, too."
+
+
+def test_links_inside_an_article_stay_but_menus_go():
+    links = "<p><a href=p>A paragraph that is a link, whole.</a></p><ol><li><a href=r>Smith, J. (1999). On markets, old and new.</a></li><li><a href=s>Jones, K. (2001). On squares.</a></li></ol>"
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    page = f"<body><article><h1><a href=x>{TITLE}</a></h1>{menu}{paragraphs()}{links}</article></body>"
+    want = PLAIN + "\nA paragraph that is a link, whole.\nSmith, J. (1999). On markets, old and new.\nJones, K. (2001). On squares."
+    assert html_extraction.main_text(page) == want
