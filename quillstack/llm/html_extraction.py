@@ -17,15 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Attributes, whose quoted values may hold a ">"; beyond these lengths the next ">" ends the tag, which keeps scanning linear.
-_ATTRS = r"(?:(?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'){0,100}+(?=>)|[^>]*+)"
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|title)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: Elements whose content isn't markup or text of the page.
+_RAW = frozenset("script style noscript template svg math iframe object textarea select canvas title".split())
+_OPEN = re.compile(r"<!--|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)|<[!?/][^>]*+>")
+#: The end of a tag or an attribute's value; quotes elsewhere are plain characters.
+_STOP = re.compile(r">|=\s*+(?:(?P<quote>[\"'])|[^\s>][^\s>]*+)?+")
 _UNCLOSED = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,6 +76,49 @@ def _skipped(tag: str, attrs: str, inside_main: bool) -> bool:
     return False
 
 
+def _tag_end(html: str, at: int, end: int, known: dict[int, int]) -> int:
+    """Position of the ">" that ends a tag, past quoted values of any length; the next ">" if a quote is never closed.
+
+    `known` has the result behind each opening quote seen (-1: none), so that a page is read once, however broken.
+    """
+    begin, opened, found = at, [], -1
+    while m := _STOP.search(html, at, end):
+        if m[0] == ">":
+            found = m.start()
+            break
+        at = m.end()
+        if m["quote"]:
+            if at in known:
+                found = known[at]
+                break
+            opened.append(at)
+            at = html.find(m["quote"], at, end) + 1
+            if not at:
+                break
+    known.update(dict.fromkeys(opened, found))
+    return found if found >= 0 else html.find(">", begin, end)
+
+
+def _tags(html: str, end: int):
+    """(start, stop, tag, whether it closes, attributes, whether it never ends) of markup; tag is None for what is left out."""
+    at, known = 0, {}
+    while m := _OPEN.search(html, at, end):
+        tag, attrs, never = m["tag"], "", False
+        at = m.end()
+        if m[0] == "<!--":
+            stop = html.find("-->", at, end)
+            never = stop < 0
+            at = end if never else stop + 3
+        elif tag:
+            stop = _tag_end(html, at, end, known)
+            attrs, at = html[at:stop], stop + 1
+            if not m["close"] and tag.lower() in _RAW:
+                last = re.compile(rf"</{tag}\s*>", re.I).search(html, at, end)
+                never = last is None
+                at, tag = end if never else last.end(), None
+        yield m.start(), at, tag, bool(m["close"]), attrs, never
+
+
 def blocks(html: str):
     """(text, node, share of link text) of each non-empty block outside skipped elements, in page order."""
     paths: dict[tuple, int] = {}
@@ -108,23 +147,22 @@ def blocks(html: str):
                 linked += len(text.strip())
 
     at, end = 0, html.rfind(">") + 1
-    for m in _TAG.finditer(html, 0, end):
-        say(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, stop, tag, closes, attrs, never in _tags(html, end):
+        say(html[at:start])
+        at = stop
         if not tag:
-            if at == end and (m[0].startswith("<!--") and not m[0].endswith("-->") or m["raw"] and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I)):
+            if never:
                 at = len(html)  # unclosed: it takes all that follows
             continue
         tag = tag.lower()
-        if stack[-1].tag == "head" and not m["close"] and tag not in _HEAD:
+        if stack[-1].tag == "head" and not closes and tag not in _HEAD:
             stack.pop()
         if tag == "br":
             say(" ")
         elif tag in _VOID:
             if tag == "hr":
                 flush()
-        elif m["close"]:
+        elif closes:
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in _INLINE:
@@ -156,7 +194,6 @@ def blocks(html: str):
                 links += 1
             top = stack[-1]
             path = paths.setdefault((top.path, tag), len(paths) + 1)
-            attrs = m["attrs"]
             main = top.main or tag in ("article", "main")
             wraps = tag == "main" or tag == "article" and top.form  # what only a form around the whole page would hide
             skipped = _skipped(tag, attrs, top.main)

@@ -111,3 +111,18 @@ def test_links_inside_an_article_stay_but_menus_go():
     page = f"<body><article><h1><a href=x>{TITLE}</a></h1>{menu}{paragraphs()}{links}</article></body>"
     want = PLAIN + "\nA paragraph that is a link, whole.\nSmith, J. (1999). On markets, old and new.\nJones, K. (2001). On squares."
     assert html_extraction.main_text(page) == want
+
+
+def test_long_and_many_attributes_do_not_leak():
+    value = "x" * 3000 + '<b>secret</b> more'
+    many = " ".join(f'a{i}="v"' for i in range(150))
+    page = f"<body><article><h1>{TITLE}</h1><div data-x=\"{value}\" {many} data-y='a > b'>{paragraphs()}</div></article></body>"
+    assert html_extraction.main_text(page) == PLAIN
+
+
+def test_broken_quotes_take_linear_time():
+    for piece in ("<p class='", '<a b="c\'', "<a b='\">"):
+        for end in (">", "'>'", "=\">\""):
+            began = time.process_time()
+            html_extraction.main_text(piece * 40_000 + end)
+            assert time.process_time() - began < 20
