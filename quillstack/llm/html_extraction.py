@@ -254,6 +254,7 @@ def main_text(html: str, inside: float = 0.8, bar: float = 0.25) -> str:
             holders.add(node)
             node = node.parent
     article = max((n for n in holders if n.weight >= inside * total and n.tag not in _BLOCKS), key=lambda n: n.depth)
+    core = article
     while article.parent and article.parent.weight > article.weight and article.tag not in ("article", "main", "body"):
         article = article.parent  # blocks beside it hold content, too
     up = article
@@ -261,17 +262,20 @@ def main_text(html: str, inside: float = 0.8, bar: float = 0.25) -> str:
         if up.tag in ("article", "main"):
             article = up
         up = up.parent
-    whole = article.main or article.tag not in ("", "html", "body")
+    core = article if article.main else core
+    whole = article.main or core.tag not in ("", "html", "body")
     menus = _menus(found) if article.main else frozenset()
     kept = []
     for text, node, link in found:
         heading = re.fullmatch(r"h[1-6]", node.tag) is not None
         content = best[node.path] >= limit
-        up = node
+        up, inner = node, False
         while up and up is not article:
+            inner = inner or up is core
             up = up.parent
+        inner = inner or core is article or article.tag not in ("", "html", "body")
         linked = link >= 0.9 and (not article.main or _list_of(node) in menus)
-        if up and (heading or whole and not linked or content and link < 0.5):
+        if up and (heading or whole and inner and not linked or content and link < 0.5):
             kept.append(text)
     return "\n".join(kept)
 

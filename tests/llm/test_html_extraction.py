@@ -126,3 +126,9 @@ def test_broken_quotes_take_linear_time():
             began = time.process_time()
             html_extraction.main_text(piece * 40_000 + end)
             assert time.process_time() - began < 20
+
+
+def test_short_blocks_stay_where_the_page_has_another_content_block():
+    long = "A long paragraph, with commas and stops. " * 60
+    page = f"<body><div><h1>T</h1><p>{long}</p><ul><li>Bread</li><li>Honey</li></ul></div><div><p>{long[:200]}</p></div></body>"
+    assert html_extraction.main_text(page).split("\n")[2:4] == ["Bread", "Honey"]
