@@ -3,10 +3,12 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 
-from quillstack.llm import simhash
+from quillstack.llm import shingle_join, simhash
 from quillstack.llm.common import table
 
 from ..support import SMALL
@@ -158,3 +160,24 @@ def test_near_copies_are_judged_by_exact_similarity(documents):
     assert 50 < len(want) < 350
     kept = {x["doc_id"] for x in simhash.drop_near_copies(documents(rows)).select("doc_id").collect()}
     assert {i for i, _ in rows} - kept == want
+
+
+def test_long_lists_lose_no_pair():
+    """Whatever links the first pairs of a long list give, the rest of its pairs follow."""
+    rows = {"token": np.repeat([1, 2], [40, 5]), "node": np.arange(45), "n": np.full(45, 100, np.int32), "pos": np.zeros(45, np.int32)}
+    out = shingle_join.first_pairs(pa.table(rows))
+    pairs = {(u, v) for u, v in zip(out["u"].to_pylist(), out["v"].to_pylist()) if v is not None}
+    lists = out.filter(pa.compute.is_null(out["v"]))
+    assert lists.num_rows == 40 and {p for p in pairs if p[0] >= 40} == set(combinations(range(40, 45), 2))
+    for roots in (np.arange(45), np.arange(45) % 3, np.zeros(45, int)):
+        more = shingle_join.other_pairs(lists.append_column("root", pa.array(roots[lists["u"].to_numpy()])))
+        assert set(zip(more["u"].to_pylist(), more["v"].to_pylist())) == {(a, b) for a, b in combinations(range(40), 2) if roots[a] != roots[b]}
+
+
+def test_near_copies_in_long_lists_against_all_pairs(documents):
+    r = random.Random(7)
+    line = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(line[:116] + [f"{i}x{k}" for k in range(r.randrange(4, 60))])) for i in range(70)]
+    want = brute_drops(rows)
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(documents(rows)).select("doc_id").collect()}
+    assert 0 < len(want) < 70 and {i for i, _ in rows} - kept == want
