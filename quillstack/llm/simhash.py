@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, cut, local_stars, stored, table, without
-from .shingle_join import near_components, shingle_sets
+from .common import arrow_map, connected_components, cut, local_stars, table, without
+from .shingle_join import near_components
 
 #: The contract's 64-bit index: each 5 of 8 positions, for at most 3 differing bits.
 FIVE_OF_EIGHT = tuple(combinations(range(8), 5))
@@ -174,8 +174,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more, computed exactly; groups are
     closed under such links.  shingle_join finds all of them.
     """
-    sets = stored(shingle_sets(docs, text, doc_id, shingle))
-    linked = sets.select("doc_id", "mark", "node").join(near_components(sets), "node", "left")
+    rows, roots = near_components(docs, text, doc_id, shingle)
+    linked = rows.join(roots, "node", "left")
     # Equal sets are one node, with links or without.
     group = F.coalesce("root", "node")
     least = linked.groupBy(group.alias("root")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
