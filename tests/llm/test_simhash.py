@@ -181,3 +181,41 @@ def test_near_copies_in_long_lists_against_all_pairs(documents):
     want = brute_drops(rows)
     kept = {x["doc_id"] for x in simhash.drop_near_copies(documents(rows)).select("doc_id").collect()}
     assert 0 < len(want) < 70 and {i for i, _ in rows} - kept == want
+
+
+def test_screening_keeps_every_pair_that_has_the_similarity():
+    """The tally of the common prefix against the exact similarity, with shingles of different frequency classes."""
+    rng = np.random.default_rng(11)
+    weight = np.zeros(1 << shingle_join.BUCKET_BITS, np.int64)
+    weight[rng.integers(0, len(weight), len(weight) // 3)] = 7
+    dropped = 0
+    for _ in range(800):
+        shared = rng.integers(0, 1 << 63, int(rng.integers(1, 200))).astype(np.uint64) * np.uint64(2)
+        own = [rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(shared) // 2))).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+        sets = [np.unique(np.concatenate([shared, x])) for x in own]
+        prefix = []
+        for s in sets:
+            order = np.lexsort((s, weight[(s >> np.uint64(64 - shingle_join.BUCKET_BITS)).astype(np.int64)]))
+            prefix.append(s[order[: len(s) - -(-4 * len(s) // 5) + 1]])
+        both = len(np.intersect1d(*sets))
+        near = 5 * both >= 4 * (len(sets[0]) + len(sets[1]) - both)
+        kept = shingle_join.can_reach(prefix[0], len(sets[0]), prefix[1], len(sets[1]), weight)
+        assert kept or not near
+        dropped += not kept
+    assert dropped > 100
+
+
+def test_recall_of_near_copies_on_the_tables(spark):
+    """All pairs of different texts at similarity 0.8 or more: one of each such pair goes, and nothing else does."""
+    rows = {x["doc_id"]: x["text"] or "" for x in table(spark, SMALL, "documents").collect()}
+    sets = {}
+    for i, t in rows.items():
+        words = t.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    links = [(i, j) for i in rows for j in rows if i < j and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = {i: i for i in rows}
+    for _ in rows:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(table(spark, SMALL, "documents")).collect()}
+    assert links and kept == {i for i in rows if root[i] == i}
