@@ -148,11 +148,11 @@ def _signature(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.sum(h)).first())
 
 
-def arrow_map(df: DataFrame, per_table: Callable[[pa.Table], pa.Table | None], schema: str, key: str) -> DataFrame:
-    """Group by `key`: whole runs of equal keys go through `per_table`, many keys at a time."""
+def arrow_map(df: DataFrame, per_table: Callable[[pa.Table], pa.Table | None], schema: str, key: str, rows: int = 400_000) -> DataFrame:
+    """Group by `key`: whole runs of equal keys go through `per_table`, about `rows` rows of whole keys at a time."""
 
     def run(batches):
-        for whole in sorted_runs(batches, key):
+        for whole in sorted_runs(batches, key, rows):
             if (out := per_table(whole)) is not None and out.num_rows:
                 yield from out.to_batches()
 

@@ -2,12 +2,16 @@
 
 Unit vectors with cosine >= t are at a squared distance of at most D = 2 - 2t.  After a fixed random rotation the
 coordinates are cut into blocks; a linked pair is within D * (block's dimensions / all dimensions) in one block at
-least.  Each block is range-joined under that budget: a grid on the block's leading coordinates, with cells wider than
-the budget's radius, brings each close pair together in one cell.  Candidates are verified by the exact cosine; a pair
-that several blocks find counts in the first of them, so link counts need no global list of pairs.
+least.  Each block is range-joined under that budget, and the union of what the blocks let through is verified by the
+exact cosine, in double precision.
 
-Equal vectors are one class with a multiplicity.  Cells with many members are dealt out as pairs of chunks, so a task
-holds two chunks at most.  Tasks return link counts and a spanning forest, not pairs.
+Inside a block the range join compares tile against tile, as products of small matrices.  A grid or pivots don't help
+there: a block's radius is as wide as the spread of vectors without structure, so that cells wide enough for it hold
+nearly everything (see README for figures).  So each pair of vectors of one label is looked at once, which grows with the
+square of a label's size; the blocks only save the verification.
+
+Equal vectors are one class with a multiplicity.  A label's classes are dealt out as pairs of chunks of CHUNK numbers,
+so a task holds two chunks at most, however large the label is.  Tasks return link counts and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, connected_components, cut, local_stars, table
 
 COSINE = 0.93
-BLOCK_DIMS = 8
-GRID_DIMS = 2
-#: Members of a cell that are compared in one piece.
-CHUNK = 1500
+BLOCK_DIMS = 16
+#: Numbers (vectors times dimensions) that are compared in one piece.
+CHUNK = 1 << 19
+TILE = 256
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -31,133 +35,65 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
-
-
 def _blocks(dims: int) -> list[tuple[int, int]]:
     return [(a, min(dims, a + BLOCK_DIMS)) for a in range(0, dims, BLOCK_DIMS)]
 
 
-def _cells(rotated: np.ndarray, a: int, b: int, radius: float):
-    """(row, cell, home): each row's own cell, and those after it (in order) which hold points within the radius."""
-    g = min(GRID_DIMS, b - a)
-    width = 2 * radius
-    x = rotated[:, a : a + g]
-    home = np.floor(x / width).astype(np.int64)
-    side = np.where(x - home * width < radius, -1, 1)
-    rows, cells, homes = [], [], []
-    for moves in range(1 << g):
-        pick = np.array([(moves >> k) & 1 for k in range(g)])
-        shift = side * pick
-        lead = np.zeros(len(x), np.int64)  # sign of the first non-zero shift: visitors go to later cells only
-        for k in range(g):
-            lead = np.where(lead == 0, shift[:, k], lead)
-        keep = np.flatnonzero(lead > 0) if moves else np.arange(len(x))
-        rows.append(keep)
-        cells.append((home + shift)[keep])
-        homes.append(np.full(len(keep), not moves))
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
-
-
-def _members(batches, cosine: float):
-    """For each class vector: the cells of each block that it belongs to."""
-    budget = 2 - 2 * cosine
-    for batch in batches:
-        raw = batch.column("embedding")
-        size = np.diff(raw.offsets.to_numpy())
-        flat = raw.flatten().to_numpy(zero_copy_only=False)
-        start = np.r_[0, np.cumsum(size)][:-1]
-        group = batch.column("g").to_numpy()
-        node = batch.column("node").to_numpy()
-        mult = batch.column("mult").to_numpy()
-        for dims in np.unique(size):
-            own = np.flatnonzero(size == dims)
-            vectors = flat[start[own][:, None] + np.arange(dims)]
-            rotated = _unit(vectors.astype(np.float64)) @ rotation(int(dims))
-            for number, (a, b) in enumerate(_blocks(int(dims))):
-                rows, cells, home = _cells(rotated, a, b, np.sqrt(budget * (b - a) / dims) * (1 + 1e-9))
-                if not len(rows):
-                    continue
-                cell = np.zeros(len(rows), np.int64)
-                for k in range(cells.shape[1]):
-                    cell = cell * 100003 + cells[:, k] + 50000
-                i = own[rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(group[i]),
-                        pa.array(np.full(len(i), number, np.int32)),
-                        pa.array(cell),
-                        pa.array(home),
-                        pa.array(node[i]),
-                        pa.array(mult[i]),
-                        pa.FixedSizeListArray.from_arrays(pa.array(vectors[rows].ravel()), int(dims)).cast(pa.list_(pa.float32())),
-                    ],
-                    ["g", "block", "cell", "home", "node", "mult", "embedding"],
-                )
+def near_pairs(vectors: np.ndarray, part: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(u, v, how many were verified): positions u < v of linked pairs of rows; unless `same`, only of rows of different parts."""
+    scaled = vectors / np.abs(vectors).max(1)[:, None]  # neither squares nor products leave the range of doubles
+    length = np.sqrt((scaled * scaled).sum(1))
+    n, dims = vectors.shape
+    rotated = (scaled / length[:, None]) @ rotation(dims)
+    blocks = _blocks(dims)
+    norms = [(rotated[:, a:b] ** 2).sum(1) for a, b in blocks]
+    us, vs, verified = [], [], 0
+    for i in range(0, n, TILE):
+        end = min(n, i + TILE)
+        near = np.zeros((end - i, n - i), bool)
+        for (a, b), norm in zip(blocks, norms):
+            apart = rotated[i:end, a:b] @ rotated[i:, a:b].T
+            apart *= -2
+            apart += norm[i:end, None]
+            apart += norm[None, i:]
+            near |= apart <= (2 - 2 * cosine) * (b - a) / dims + 1e-9
+        u, v = np.nonzero(near)
+        keep = u < v if same else (u < v) & (part[u + i] != part[v + i])
+        u, v = u[keep] + i, v[keep] + i
+        verified += len(u)
+        for at in range(0, len(u), 1 << 16):
+            x, y = u[at : at + (1 << 16)], v[at : at + (1 << 16)]
+            hit = (scaled[x] * scaled[y]).sum(1) / (length[x] * length[y]) >= cosine
+            us.append(x[hit])
+            vs.append(y[hit])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs]), verified
 
 
 def _compare(run: pa.Table, cosine: float) -> pa.Table:
-    """Link counts (kind 0: node, count) and spanning edges (kind 1: node, other) of runs of (cell, chunk pair)."""
+    """Link counts (kind 0: node, count) and spanning edges (kind 1: node, other) of runs of chunk pairs."""
     key = run["key"].to_numpy()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[first[1:], len(key)]
     node, mult = run["node"].to_numpy(), run["mult"].to_numpy()
-    home, block = run["home"].to_numpy(zero_copy_only=False), run["block"].to_numpy()
     part, same = run["part"].to_numpy(), run["same"].to_numpy(zero_copy_only=False)
     vectors = run["embedding"].combine_chunks()
     flat, offsets = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
     kinds, nodes, others = [], [], []
-    budget = 2 - 2 * cosine
     for s, e in zip(first, ends):
-        if e - s < 2:
-            continue
-        dims = int(offsets[s + 1] - offsets[s])
-        unit = _unit(flat[offsets[s] : offsets[e]].reshape(e - s, dims).astype(np.float64))
-        rotated = unit @ rotation(dims)
-        blocks, mine = _blocks(dims), int(block[s])
-        a, b = blocks[mine]
-        sub = rotated[:, a:b]
-        norm = (sub * sub).sum(1)
-        count = np.zeros(e - s, np.int64)
-        us, vs = [], []
-        for i in range(0, e - s, 256):
-            j = slice(i, min(e - s, i + 256))
-            near = norm[j][:, None] + norm[None, :] - 2 * (sub[j] @ sub.T) <= budget * (b - a) / dims + 1e-9
-            near &= np.arange(i, j.stop)[:, None] < np.arange(e - s)[None, :]
-            near &= home[s + i : s + j.stop][:, None] | home[s:e][None, :]
-            if not same[s]:
-                near &= part[s + i : s + j.stop][:, None] != part[s:e][None, :]
-            u, v = np.nonzero(near)
-            u += i
-            found = np.zeros(len(u), np.int64)  # the first block that finds the pair
-            open_ = np.ones(len(u), bool)
-            for number, (p, q) in enumerate(blocks):
-                d = rotated[u, p:q] - rotated[v, p:q]
-                hit = open_ & ((d * d).sum(1) <= budget * (q - p) / dims + 1e-12)
-                found[hit], open_ = number, open_ & ~hit
-            keep = ~open_ & (found == mine)
-            u, v = u[keep], v[keep]
-            keep = (unit[u] * unit[v]).sum(1) >= cosine
-            u, v = u[keep], v[keep]
-            np.add.at(count, u, mult[s + v])
-            np.add.at(count, v, mult[s + u])
-            us.append(u)
-            vs.append(v)
-        u, v = np.concatenate(us), np.concatenate(vs)
+        u, v, _ = near_pairs(flat[offsets[s] : offsets[e]].reshape(e - s, -1), part[s:e], bool(same[s]), cosine)
         if not len(u):
             continue
+        count = np.zeros(e - s, np.int64)
+        np.add.at(count, u, mult[s + v])
+        np.add.at(count, v, mult[s + u])
         some = np.flatnonzero(count)
-        kinds.append(np.zeros(len(some), np.int32))
-        nodes.append(node[s + some])
-        others.append(count[some])
         moved, low = local_stars(node[s:e], u, v)
-        kinds.append(np.ones(len(moved), np.int32))
-        nodes.append(moved)
-        others.append(low)
-    if not kinds:
-        return pa.table({"kind": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-    return pa.table({"kind": np.concatenate(kinds), "node": np.concatenate(nodes), "other": np.concatenate(others)})
+        kinds += [np.zeros(len(some), np.int32), np.ones(len(moved), np.int32)]
+        nodes += [node[s + some], moved]
+        others += [count[some], low]
+    none = np.empty(0, np.int64)
+    return pa.table({"kind": np.concatenate([none.astype(np.int32), *kinds]), "node": np.concatenate([none, *nodes]), "other": np.concatenate([none, *others])})
 
 
 def embedding_groups(rows: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
@@ -175,7 +111,7 @@ def embedding_groups(rows: DataFrame, cosine: float = COSINE, chunk: int = CHUNK
         & F.exists("embedding", lambda x: x != 0)
     )
     digest = F.concat_ws("-", F.xxhash64("label", "embedding"), F.xxhash64(F.lit(1), F.reverse("embedding"), "label"))
-    source = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    source = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     keyed = cut(source.select("vec_id", "label", "embedding", F.when(F.coalesce(good, F.lit(False)), digest).alias("class")))
     classes = cut(
         keyed.where("class IS NOT NULL").groupBy("class").agg(
@@ -183,17 +119,13 @@ def embedding_groups(rows: DataFrame, cosine: float = COSINE, chunk: int = CHUNK
             F.first(F.xxhash64("label", F.size("embedding"))).alias("g"),
         )
     )
-    schema = "g long, block int, cell long, home boolean, node long, mult long, embedding array<float>"
-    place = ["g", "block", "cell"]
     slim = classes.select("g", "node", "mult", "embedding")
-    members = slim.mapInArrow(lambda batches: _members(batches, cosine), schema)
-    pieces = members.groupBy(*place).agg(F.ceil(F.count("*") / chunk).cast("int").alias("pieces"))
-    pieces = cut(pieces)
+    pieces = cut(slim.groupBy("g").agg(F.ceil(F.sum(F.size("embedding").cast("long")) / chunk).cast("int").alias("pieces")))
     part = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    dealt = members.join(pieces, place).withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = slim.join(pieces, "g").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     low, high = F.least("part", "with"), F.greatest("part", "with")
-    dealt = dealt.select(F.xxhash64(*place, low, high).alias("key"), "block", "home", "part", (low == high).alias("same"), "node", "mult", "embedding")
-    found = cut(arrow_map(dealt, lambda run: _compare(run, cosine), "kind int, node long, other long", "key"))
+    dealt = dealt.select(F.xxhash64("g", low, high).alias("key"), "part", (low == high).alias("same"), "node", "mult", "embedding")
+    found = cut(arrow_map(dealt, lambda run: _compare(run, cosine), "kind int, node long, other long", "key", 8192))
     links = found.where("kind = 0").groupBy("node").agg(F.sum("other").alias("links"))
     roots = connected_components(found.where("kind = 1").select(F.col("node").alias("u"), F.col("other").alias("v")))
     c = classes.select("class", "node", "mult").join(links, "node", "left").join(roots, "node", "left")

@@ -58,7 +58,44 @@ def test_clusters_against_brute_force(spark):
     assert 0 < sum(x[3] for x in want) < len(rows)
     df = spark.createDataFrame(rows, SCHEMA)
     assert rows_of(embedding_dedup.embedding_groups(df), *COLUMNS) == want
-    assert rows_of(embedding_dedup.embedding_groups(df, chunk=3), *COLUMNS) == want  # cells dealt out in pairs of chunks
+    assert rows_of(embedding_dedup.embedding_groups(df, chunk=3 * 32), *COLUMNS) == want  # labels dealt out in pairs of chunks
+
+
+def test_links_on_both_sides_of_the_bound(spark, tmp_path):
+    """The registered query against its SQL on vectors with cosines of about 0.93, as doubles and as floats, over several labels."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(60):
+        centre = rng.standard_normal(64)
+        centre /= np.linalg.norm(centre)
+        for cosine in rng.uniform(0.9, 0.96, 5):
+            aside = rng.standard_normal(64)
+            aside -= (aside @ centre) * centre
+            v = cosine * centre + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside)
+            rows.append((len(rows), [float(x) for x in v * 10.0 ** rng.integers(-3, 4)], c % 4))
+        rows.append((len(rows), [float(x) for x in centre], c % 4))
+    for kind in ("double", "float"):
+        folder = tmp_path / kind
+        folder.mkdir()
+        spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+        got = rows_of(embedding_dedup.op7_embedding_dedup(spark, str(folder)), *COLUMNS)
+        assert 100 < sum(x[1] for x in got) / 2 < 300  # of 300 pairs of a centre and its neighbour
+        assert_same(embedding_dedup.op7_embedding_dedup(spark, str(folder)), views(str(folder)), embedding_dedup.OP7_SQL)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair that rounding to floats would bring over the bound, and vectors whose squares no double holds."""
+    c = 0.93 - 1e-10
+    rows = [(1, [1.0, 0.0], 0), (2, [c, float(np.sqrt(1 - c * c))], 0), (3, [1e200, 0.0], 1), (4, [1e-200, 1e-202], 1), (5, [1.0, 0.0], 2), (6, [0.93 + 1e-10, float(np.sqrt(1 - (0.93 + 1e-10) ** 2))], 2)]
+    got = rows_of(embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id", "n_links")
+    assert got == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1)]
+
+
+def test_blocks_spare_verification():
+    """Vectors without structure: what the blocks let through beyond links is a small share of all pairs."""
+    vectors = np.random.default_rng(9).standard_normal((2000, 64))
+    u, _, verified = embedding_dedup.near_pairs(vectors, np.zeros(2000), True, 0.93)
+    assert not len(u) and verified < 2000 * 1999 / 2 / 1000
 
 
 def test_empty_table(spark):
