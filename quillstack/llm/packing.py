@@ -3,8 +3,9 @@
 Documents longer than the longest length are cut into pieces.  Pieces are dealt by hash into shards of about
 SHARD_PIECES; each shard is packed by best-fit decreasing: a piece goes to the open bin that it leaves fullest; if none
 has room, the bin size with the least cost per token that can still be filled is opened; at the end each bin is cut
-down to the smallest permitted length that holds its contents.  A shard has hundreds of bins, so what packing shards
-apart wastes stays well under a percent at any input size.
+down to the smallest permitted length that holds its contents.  A shard has hundreds of bins; what packing shards
+apart wastes is tested against one shard for all.  Pieces carry their range of the text, so that sequences can be cut
+out without counting again.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import SPACE, WORD, cut, table
 from .mixing import words
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence of n tokens, in tokens: n, a fixed part, and n * n / ATTENTION for attention.
 OVERHEAD, ATTENTION = 64, 1 << 16
 SHARD_PIECES = 8192
+#: Copies of one row that a task makes at once.
+PORTION = 4096
 
 
 def cost(length: int) -> float:
@@ -59,31 +62,58 @@ def pack(sizes, lengths=LENGTHS, cost=cost):
     return bin_of, offset, np.array([next(x for x in lengths if x >= u) for u in used], np.int64)
 
 
-def pack_documents(docs: DataFrame, text="text", doc_id="doc_id", lengths=LENGTHS, cost=cost, shard_pieces=SHARD_PIECES) -> DataFrame:
-    """One row per piece: doc_id, piece, start (in words), n_tokens, bin_id, capacity, position.
+def _piece_lengths(text, size, longest: int):
+    """Code points of each piece; pieces make up the whole text, and a break comes right after the last word before it."""
+    piece = rf"(?:{SPACE[:-1]}*+{WORD}+){{1,{longest}}}+"
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda x: F.length(x).cast("long"))
+    return F.when(size > longest, lengths).otherwise(F.array(F.coalesce(F.length(text), F.lit(0)).cast("long")))
 
-    Tokens are words.  A row without words has one piece of no tokens and no bin.  Repeated rows (a mix repeats
-    documents) are packed each on its own.  Empty tables give empty results; other columns are neither read nor
-    returned.
+
+def pack_documents(docs: DataFrame, text="text", doc_id="doc_id", lengths=LENGTHS, cost=cost, shard_pieces=SHARD_PIECES, with_text=False) -> DataFrame:
+    """One row per piece: doc_id, piece, start (in words), n_tokens, char_start, char_end (code points), bin_id, capacity, position; text, if asked for.
+
+    Tokens are words.  The pieces' ranges make up a document's whole text.  A row without words has one piece of no
+    tokens and no bin.  Equal rows (a mix repeats documents) are packed each on its own; they, and rows without doc_id,
+    spread over all shards.  Empty tables give empty results; other columns are neither read nor returned.
     """
     longest = max(lengths)
-    rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("size")))
-    last = F.greatest(F.lit(0), F.ceil(F.col("size") / longest) - 1).cast("int")
-    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    mark = F.xxhash64(F.col(text)).alias("mark")
+    size = words(F.col(text))
+    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark, size.alias("size"), _piece_lengths(F.col(text), size, longest).alias("chars"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars")))
+    # Equal rows are counted, and numbered in portions, so that no task makes all copies of a row.
+    same = sized.groupBy("doc_id", "mark", "size", "chars", "n_chars").agg(F.count("*").alias("n"))
+    same = same.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PORTION).cast("long"))))
+    same = same.repartition("doc_id", "mark", "portion")
+    rows = same.withColumn("copy", F.explode(F.sequence("portion", F.least(F.col("portion") + PORTION, F.col("n")) - 1)))
+    rows = rows.select("doc_id", "mark", "copy", "size", "chars", "n_chars", F.posexplode("chars").alias("piece", "long"))
     start = F.col("piece").cast("long") * longest
-    pieces = rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest), F.col("size") - start).cast("long").alias("n_tokens"))
+    at = F.aggregate(F.slice("chars", 1, F.col("piece")), F.lit(0).cast("long"), lambda x, y: x + y)
+    last = F.col("piece") == F.size("chars") - 1
+    pieces = cut(
+        rows.select(
+            "doc_id", "mark", "copy", "piece", start.alias("start"), F.least(F.lit(longest), F.col("size") - start).cast("long").alias("n_tokens"),
+            at.alias("char_start"), F.when(last, F.col("n_chars")).otherwise(at + F.col("long")).cast("long").alias("char_end"),
+        )
+    )
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["n_tokens", "doc_id", "mark", "piece", "copy"], ascending=[False, True, True, True, True], kind="stable")
         bins, offsets, capacity = pack(group["n_tokens"].to_numpy(), lengths, cost)
         return group.assign(bin_id=(group["shard"].to_numpy().astype(np.int64) << 32) + bins, capacity=capacity[bins], position=offsets).drop(columns="shard")
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")
-    schema = "doc_id long, piece int, start long, n_tokens long, bin_id long, capacity long, position long"
+    shard = F.pmod(F.xxhash64("doc_id", "mark", "piece", "copy"), F.lit(shards)).cast("int")
+    schema = "doc_id long, mark long, copy long, piece int, start long, n_tokens long, char_start long, char_end long, bin_id long, capacity long, position long"
     packed = pieces.where("n_tokens > 0").withColumn("shard", shard).groupBy("shard").applyInPandas(run, schema)
     none = pieces.where("n_tokens = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("bin_id", "capacity", "position")))
-    return packed.unionByName(none)
+    placed = packed.unionByName(none)
+    result = ["doc_id", "piece", "start", "n_tokens", "char_start", "char_end", "bin_id", "capacity", "position"]
+    if not with_text:
+        return placed.select(result)
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark, F.col(text).alias("text")).select(own.alias("own"), "mark", "text").dropDuplicates(["own", "mark"])
+    part = F.coalesce(F.substring("text", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int")), F.lit(""))
+    return placed.withColumn("own", own).join(texts, ["own", "mark"]).select(*result, part.alias("text"))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

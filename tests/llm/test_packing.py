@@ -82,9 +82,39 @@ def test_shards_lose_little(documents):
     r = random.Random(1)
     rows = [(i, "w " * r.randrange(1, 900)) for i in range(3000)]
     total = sum(len(t.split()) for _, t in rows)
+    room = []
     for pieces in (500, 10**6):
         _, bins = whole(packing.pack_documents(documents(rows), shard_pieces=pieces).collect())
-        assert total / sum(m[0]["capacity"] for m in bins.values()) > 0.97
+        room.append(sum(m[0]["capacity"] for m in bins.values()))
+        assert total / room[-1] > 0.97
+    assert room[0] <= 1.01 * room[1]  # shards of 500 pieces against one shard for all
+
+
+def test_ranges_give_the_texts_back(documents):
+    """Pieces make up each text exactly, each has the words it tells, and the sequences' texts have the bins' lengths."""
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(["é", "w", "漢", "😀x"]) * r.randrange(1, 4) + r.choice([" ", "\n\n", "\t "]) for _ in range(r.randrange(0, 90)))) for i in range(40)]
+    rows += [(40, "  lead and trail \n"), (41, None), (42, ""), (43, " \n"), (None, "a b"), (None, "c d e f g h i j k l m n o p"), (44, "x " * 200_000), (1, "other text of one")]
+    got = packing.pack_documents(documents(rows, clash=True), lengths=(4, 8, 16), with_text=True).collect()
+    found = {}
+    for x in sorted(got, key=lambda x: x["char_start"]):
+        assert len(x["text"].split()) == x["n_tokens"] and len(x["text"]) == x["char_end"] - x["char_start"]
+        if x["doc_id"] not in (1, None):
+            found[x["doc_id"]] = found.get(x["doc_id"], "") + x["text"]
+    assert found == {i: t or "" for i, t in rows if i not in (1, None)}
+    whole(got, (4, 8, 16))
+    assert sorted(x["text"] for x in got if x["doc_id"] is None and x["n_tokens"] == 2) == ["a b"]
+
+
+def test_crowds_spread_over_shards(spark, documents):
+    """Rows without doc_id and repeated rows: no shard gets much more than its share, and none is lost."""
+    rows = [(None, f"text {i}") for i in range(3000)] + [(7, "same words again")] * 3000
+    got = packing.pack_documents(documents(rows), shard_pieces=500).collect()
+    by_shard = {}
+    for x in got:
+        by_shard[x["bin_id"] >> 32] = by_shard.get(x["bin_id"] >> 32, 0) + 1
+    assert len(got) == 6000 and len(by_shard) == 12 and max(by_shard.values()) < 700
+    whole(got)
 
 
 def test_joint_choice_of_lengths_costs_no_more_than_one_length():
