@@ -44,7 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     """Materialise wide rows as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored() table; nothing that still reads it may be evaluated afterwards."""
+    if path := getattr(df, "stored_at", None):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,12 +1,14 @@
 """Operator 3, SimHash near-dedup: byte-position inverted index with count filtering.
 
-A fingerprint is a row of positional bytes.  Two fingerprints of b bytes that differ in at most d bits share at
-least b - d positional bytes, so each such pair meets in the index under one of the sets of b - d positions.  The
-index lists distinct fingerprints only, under every set; a pair met in a list is kept if its tally of shared bytes
-reaches the minimum, then verified by its differing bits.  Lists are sorted runs; a list gives a spanning forest of
-its links, never all pairs, and a comparison is skipped once both sides are known to be connected.
-
-A list under five of eight bytes has at most 2**24 distinct fingerprints, which bounds its memory at any input size.
+A fingerprint is a row of eight positional bytes.  Two fingerprints that differ in at most three bits share at least
+five of them, the guaranteed minimum.  The index lists distinct fingerprints under the bytes of four positions, for each
+of the 14 sets of four whose numbers add up to nothing in binary without carry: every five positions hold exactly one
+such set, so each pair with the minimum meets in a list.  Pairs that meet share four bytes; the tally of all their shared
+bytes then decides, and what reaches the minimum is verified by its differing bits.
+
+Lists are sorted runs; a list gives a spanning forest of its links, never all pairs, and a comparison is skipped once
+both sides are known to be connected.  Apart from near copies, a list holds about the 2**32nd part of all distinct
+fingerprints.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, connected_components, cut, local_stars, table, without
 from .shingle_join import near_components
 
-#: The contract's 64-bit index: each 5 of 8 positions, for at most 3 differing bits.
-FIVE_OF_EIGHT = tuple(combinations(range(8), 5))
+#: Four of the eight positions; of the numbers 0 to 7, those whose exclusive or is zero.
+QUADRUPLES = tuple(x for x in combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0)
+#: At most so many bits differ, so at least 8 - BITS bytes are shared.
+BITS = 3
 BLOCK = 1 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -39,23 +43,17 @@ def word_blocks(data: bytes):
         at = end
 
 
-def simhash(data: bytes, shingle: int = 3, lanes: int = 1) -> np.ndarray:
-    """`lanes` 64-bit words; lane 0 from XXH64 (seed 42) of each shingle, further lanes from a mixed hash."""
-    counts, total, tail = np.zeros((lanes, 64), np.int64), 0, []
+def simhash(data: bytes, shingle: int = 3) -> int:
+    """64 bits from XXH64 (seed 42) of each shingle: a bit is set if it is in over half of them."""
+    counts, total, tail = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
 
     def add(shingles):
-        nonlocal total
+        nonlocal total, counts
         for i in range(0, len(shingles), 16384):
             h = np.array([digest(s, 42) for s in shingles[i : i + 16384]], np.uint64)
             total += len(h)
-            for lane in range(lanes):
-                x = h
-                if lane:
-                    x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
-                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x ^= x >> np.uint64(32)
-                counts[lane] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
 
     for words in word_blocks(data.lower()):
         words = tail + words
@@ -63,32 +61,33 @@ def simhash(data: bytes, shingle: int = 3, lanes: int = 1) -> np.ndarray:
         tail = words[1 - shingle :] if shingle > 1 else []
     if not total and tail:
         add([b" ".join(tail)])
-    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view(np.uint64).reshape(lanes)
+    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id, f0, f1, ...: 64-bit fingerprint words as signed longs; texts without words have zeros."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """doc_id, f0: 64-bit fingerprint as a signed long; texts without words have zero."""
 
     def run(batches):
         for batch in batches:
-            out = np.zeros((batch.num_rows, lanes), np.uint64)
+            out = np.zeros(batch.num_rows, np.uint64)
             for i, t in enumerate(batch.column(1)):
                 if t.is_valid:
-                    out[i] = simhash(t.as_buffer().to_pybytes(), shingle, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].view(np.int64)) for k in range(lanes))], names)
+                    out[i] = simhash(t.as_buffer().to_pybytes(), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "f0"])
 
-    names = ["doc_id", *(f"f{k}" for k in range(lanes))]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return rows.mapInArrow(run, "doc_id long, f0 long")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, matches: int, bits: int) -> np.ndarray:
+def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs are links: first the tally of shared bytes, then, for those that reach the minimum, the differing bits."""
     x = a ^ b
-    shared = (x.view(np.uint8).reshape(len(x), -1) == 0).sum(1)
-    return (shared >= matches) & (np.bitwise_count(x).sum(1) <= bits)
+    ok = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= 8 - BITS
+    ok[ok] = np.bitwise_count(x[ok]) <= BITS
+    return ok
 
 
-def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, matches: int, bits: int, wide: int = 32):
+def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, wide: int = 32):
     """Stars (node, smallest node of its component) of the links inside each run of equal keys."""
     n = len(keys)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -99,7 +98,7 @@ def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, matches: int
         i = np.flatnonzero(small[:-step] & (keys[step:] == keys[:-step])) if n > step else np.empty(0, int)
         if not len(i):
             break
-        ok = i[_linked(fps[i], fps[i + step], matches, bits)]
+        ok = i[_linked(fps[i], fps[i + step])]
         us.append(ok)
         vs.append(ok + step)
     for start, size in zip(first[length > wide], length[length > wide]):
@@ -108,7 +107,7 @@ def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, matches: int
             other = np.flatnonzero(label != label[i])
             if not len(other):
                 break
-            hit = other[_linked(f[other], np.broadcast_to(f[i], (len(other), f.shape[1])), matches, bits)]
+            hit = other[_linked(f[other], np.broadcast_to(f[i], len(other)))]
             if len(hit):
                 _, one = np.unique(label[hit], return_index=True)
                 us.append(np.full(len(one), start + i))
@@ -119,31 +118,25 @@ def run_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, matches: int
     return local_stars(nodes, np.concatenate(us), np.concatenate(vs))
 
 
-def components(prints: DataFrame, lanes: int = 1, sets=FIVE_OF_EIGHT, bits: int = 3) -> DataFrame:
-    """doc_id, f0.., component_id for a table of fingerprints (read several times: materialise it first).
+def components(prints: DataFrame) -> DataFrame:
+    """doc_id, f0, component_id for a table of fingerprints (read several times: materialise it first).
 
     component_id is the smallest doc_id reachable by links, null if no reachable row has an id.
     """
-    names = [f"f{k}" for k in range(lanes)]
-    classes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    classes = cut(prints.groupBy("f0").agg(F.min("doc_id").alias("node")))
     keys = []
-    for number, positions in enumerate(sets):
-        masks = [0] * lanes
-        for p in positions:
-            masks[p // 8] |= 0xFF << (8 * (p % 8))
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        keys.append(F.xxhash64(F.lit(number), *[F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in zip(names, signed) if m]))
-    index = classes.where("node IS NOT NULL").select(F.explode(F.array(*keys)).alias("key"), "node", *names)
-    matches = len(sets[0])
+    for number, positions in enumerate(QUADRUPLES):
+        mask = sum(0xFF << (8 * p) for p in positions)
+        keys.append(F.xxhash64(F.lit(number), F.col("f0").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
+    index = classes.where("node IS NOT NULL").select(F.explode(F.array(*keys)).alias("key"), "node", "f0")
 
     def edges(run: pa.Table):
-        f = np.stack([run[c].to_numpy().view(np.uint64) for c in names], axis=1)
-        u, v = run_edges(run["key"].to_numpy(), run["node"].to_numpy(), f, matches, bits)
+        u, v = run_edges(run["key"].to_numpy(), run["node"].to_numpy(), run["f0"].to_numpy().view(np.uint64))
         return pa.table({"u": u, "v": v})
 
     roots = connected_components(arrow_map(index, edges, "u long, v long", "key"))
-    labelled = classes.join(roots, classes.node == roots.node, "left").select(*names, F.coalesce("root", classes.node).alias("component_id"))
-    return prints.join(labelled, names).select("doc_id", *names, "component_id")
+    labelled = classes.join(roots, classes.node == roots.node, "left").select("f0", F.coalesce("root", classes.node).alias("component_id"))
+    return prints.join(labelled, "f0").select("doc_id", "f0", "component_id")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -157,22 +150,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similarity 0.8 of five-word shingles: fingerprints of 256 bits, of which such texts are expected to differ in 35.
-WIDE_LANES, WIDE_BITS = 4, 36
-#: Cyclic blocks of byte positions whose differences are all distinct, so that two of their 96 shifts share one at most.
-BLOCKS = ((0, 1, 3), (0, 4, 9), (0, 6, 13))
-
-
-def cyclic_triples(n: int = 8 * WIDE_LANES, blocks=BLOCKS) -> tuple:
-    """The shifts of `blocks` modulo n: each position in equally many, each pair of positions in one at most."""
-    return tuple(tuple((x + shift) % n for x in block) for block in blocks for shift in range(n))
-
-
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
     """`docs` with the smallest doc_id of each group of near copies; rows without doc_id stay, as do blank texts'.
 
     Near copies are texts whose sets of shingles have a Jaccard similarity of 0.8 or more, computed exactly; groups are
-    closed under such links.  shingle_join finds all of them.
+    closed under such links.  Fingerprints can't do that: at 0.8, two 64-bit fingerprints are expected to differ in ten bits, which
+    guarantees no shared byte at all, so no tally of positional bytes is complete there.  shingle_join finds all links.
     """
     rows, roots = near_components(docs, text, doc_id, shingle)
     linked = rows.join(roots, "node", "left")

@@ -94,10 +94,17 @@ def test_empty_table(documents):
     assert simhash.near_groups(documents([])).count() == 0
 
 
-def test_cyclic_triples_share_at_most_one_position():
-    sets = simhash.cyclic_triples()
-    assert len(set(map(frozenset, sets))) == len(sets) == 96
-    assert all(len(set(a) & set(b)) <= 1 for a, b in combinations(sets, 2))
+def test_every_five_positions_hold_one_listed_set():
+    assert len(simhash.QUADRUPLES) == 14
+    for five in combinations(range(8), 5):
+        assert sum(set(four) <= set(five) for four in simhash.QUADRUPLES) == 1
+
+
+def test_the_tally_decides():
+    """Pairs that meet in a list share four bytes; those without a fifth go by the tally, those with five by their bits."""
+    a = np.array([0] * 4, np.uint64)
+    far = np.array([0x01010101_00000000, 0x00010101_00000000, 0x00000307_00000000, 0x00000001_00000000], np.uint64)
+    assert simhash._linked(a, far).tolist() == [False, True, False, True]
 
 
 def test_near_copies_go_and_clean_documents_stay(documents):
