@@ -47,6 +47,13 @@ _SKIPPED_NAMES = re.compile(
     r"recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|site-?header|page-?header|masthead|topbar|pagination|pager|skip-?link|search|toolbar)(?:$|[\s_-])",
     re.I,
 )
+#: What may stand beside such a word in a name of the article's own parts: "ad-slot" is an advert, "ad-hoc" isn't one.
+_COMPANIONS = frozenset(
+    "area bar block body bottom box button buttons center column container content desktop entry fixed form global group header heading holder icon icons inline inner item items left link links list main mobile "
+    "article outer page panel post posts primary reader right row section secondary site slot small sticky story strip text thread title top unit user wrap wrapper zone".split()
+)
+_NAME_PARTS = re.compile(r"[\s_-]+")
+_SIZE = re.compile(r"\d+(?:x\d+)?$")
 #: Of a name's parts, "has-sidebar" and the like tell about the page's layout.
 _LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:has|with|without|no|hide|hides)[_-][\w-]*", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。、，！？]")
@@ -62,6 +69,14 @@ class _Node:
         self.depth, self.weight = (parent.depth + 1 if parent else 0), 0.0
 
 
+def _named_chrome(value: str) -> bool:
+    """Whether one of an element's names inside the article is a word of chrome, alone or with companions only."""
+    for name in value.lower().split():
+        if _SKIPPED_NAMES.search(name) and (_SKIPPED_NAMES.fullmatch(name) or all(not x or x in _COMPANIONS or _SKIPPED_NAMES.fullmatch(x) or _SIZE.match(x) for x in _NAME_PARTS.split(name))):
+            return True
+    return False
+
+
 def _skipped(tag: str, attrs: str, inside_main: bool) -> bool:
     if tag in _SKIPPED_TAGS or tag == "header" and not inside_main:
         return True
@@ -71,7 +86,7 @@ def _skipped(tag: str, attrs: str, inside_main: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _SKIPPED_ROLES:
             return True
-        if name in ("class", "id") and _SKIPPED_NAMES.search(_LAYOUT_NAMES.sub(" ", value)) or name == "style" and _HIDDEN.search(value):
+        if name in ("class", "id") and (_named_chrome(value) if inside_main else _SKIPPED_NAMES.search(_LAYOUT_NAMES.sub(" ", value))) or name == "style" and _HIDDEN.search(value):
             return True
     return False
 

@@ -132,3 +132,20 @@ def test_short_blocks_stay_where_the_page_has_another_content_block():
     long = "A long paragraph, with commas and stops. " * 60
     page = f"<body><div><h1>T</h1><p>{long}</p><ul><li>Bread</li><li>Honey</li></ul></div><div><p>{long[:200]}</p></div></body>"
     assert html_extraction.main_text(page).split("\n")[2:4] == ["Bread", "Honey"]
+
+
+@pytest.mark.parametrize(
+    "inner, stays",
+    [
+        ('<p class="search-term">A term to look up, they say.</p>', True), ('<div class="related-work"><p>Related work, by others.</p></div>', True), ('<p class="ad-hoc">An ad-hoc remark.</p>', True),
+        ('<div class="menu-planning"><p>Planning of menus, in brief.</p></div>', True), ('<p class="notice-board">The board said so.</p>', True), ('<p class="lead has-ads">A lead, of sorts.</p>', True),
+        ('<div class="social history"><p>Two names, one of chrome.</p></div>', False), ('<div class="ad-slot ad-300x250">Buy now!</div>', False), ('<div class="share-buttons">Share this</div>', False),
+        ('<section class="reader-comments"><p>Nice, I agree.</p></section>', False), ('<div id="comments_list"><p>First!</p></div>', False), ('<div class="newsletter-box">Sign up, it is free.</div>', False),
+        ('<div class="related">Other pages: one, two.</div>', False), ('<p><a href="r">See the full report</a></p>', True), ('<h2><a href="h">Linked headline</a></h2>', True),
+    ],
+)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>", "<div id=x><article class=post>{}</article></div>"])
+def test_names_inside_the_article(inner, stays, around):
+    text = re.sub("<[^>]*>", "", inner)
+    got = html_extraction.main_text(f"<body>{NOISE}{around.format(f'<h1>{TITLE}</h1>{paragraphs()}{inner}{paragraphs()}')}<footer>End.</footer></body>")
+    assert got == "\n".join([TITLE, *BODY, *([text] if stays else []), *BODY])
