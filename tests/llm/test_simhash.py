@@ -226,3 +226,12 @@ def test_recall_of_near_copies_on_the_tables(spark):
             root[i] = root[j] = min(root[i], root[j])
     kept = {x["doc_id"] for x in simhash.drop_near_copies(table(spark, SMALL, "documents")).collect()}
     assert links and kept == {i for i in rows if root[i] == i}
+
+
+def test_rows_with_partners():
+    """A row stays if some row of another root in its list passes the bound on sizes and positions, else it goes."""
+    rng = np.random.default_rng(3)
+    rows = {"token": np.sort(rng.integers(0, 6, 200)), "u": np.arange(200), "n": rng.integers(20, 60, 200).astype(np.int32), "pos": rng.integers(0, 8, 200).astype(np.int32), "root": rng.integers(0, 5, 200)}
+    t, n, pos, root = (rows[c].tolist() for c in ("token", "n", "pos", "root"))
+    want = {i for i in range(200) if any(t[i] == t[j] and root[i] != root[j] and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j]) for j in range(200))}
+    assert set(shingle_join.partnered(pa.table(rows))["u"].to_pylist()) == want and 0 < len(want) < 200
