@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
 
+#: Languages where no table says which there are.
 LANGUAGES = ("de", "en", "es", "fr")
 SLOTS = 1 << 16
 #: A text's evidence counts as that of this many trigrams at most, as neighbouring trigrams aren't independent.
@@ -35,18 +36,31 @@ _DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-zA-Z]+)
 
 
 def trigrams(text: str):
-    """Slots of the letter trigrams of `text`, in pieces of about a megabyte."""
-    for at in range(0, len(text), BLOCK):
-        codes = np.frombuffer((" " + text[at : at + BLOCK] + " ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Slots of the letter trigrams of `text`, in pieces of about a megabyte that join without a seam."""
+    carried, after_letter = np.array([32], np.uint32), False  # the last codes of the piece before
+    for at in range(0, len(text) + 1, BLOCK):
+        piece = text[at : at + BLOCK].lower() + (" " if at + BLOCK > len(text) else "")
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(codes):
+            continue
         letter = ((codes >= 97) & (codes <= 122)) | ((codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ((codes < 0x2000) | (codes > 0x303F)))
-        codes = np.where(letter, codes, 32)
-        codes = codes[letter | np.r_[True, letter[:-1]]]
+        kept = np.where(letter, codes, 32)[letter | np.r_[after_letter, letter[:-1]]]
+        codes, after_letter = np.concatenate([carried, kept]).astype(np.uint32), bool(letter[-1])
+        carried = codes[-2:]
         if len(codes) > 2:
             h = codes[:-2] * np.uint32(2654435761) + codes[1:-1] * np.uint32(2246822519) + codes[2:] * np.uint32(3266489917)
             h ^= h >> np.uint32(15)
             yield (h * np.uint32(668265263)) >> np.uint32(16)
 
 
+def languages_of(docs: DataFrame, label: str = "lang", most: int = 64, share: float = 0.001) -> tuple[str, ...]:
+    """The labels of at least `share` of the labelled rows, `most` at most, the most frequent first in doubt; LANGUAGES if there is none."""
+    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("l")).agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "l").limit(most).collect()
+    total = sum(x["n"] for x in top)
+    return tuple(sorted(x["l"] for x in top if x["n"] >= share * total)) or LANGUAGES
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", languages=LANGUAGES) -> np.ndarray:
     """Log-probabilities (slot, language), from counts over all rows whose label is one of the languages.
 
@@ -188,8 +202,9 @@ def identify_documents(docs: DataFrame, model, languages=LANGUAGES) -> DataFrame
     return fuse(cut(text_evidence(rows, model, languages)), languages).withColumnRenamed("id", "doc_id")
 
 
-def keep_identified(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
-    """`docs` without the documents that are rejected; rows without doc_id stay."""
+def keep_identified(docs: DataFrame, languages=None) -> DataFrame:
+    """`docs` without the documents that are rejected; rows without doc_id stay.  Languages are those of the labels."""
+    languages = languages or languages_of(docs)
     # Judged by all that is read of a row, as rows of one doc_id may differ.
     mark = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", "lang", "source"))
     judged = identify_documents(docs.select(mark.alias("doc_id"), "text", "lang", "source"), fit(docs, languages=languages), languages)
@@ -199,4 +214,6 @@ def keep_identified(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    return identify_pages(table(spark, sf_dir, "pages"), fit(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    languages = languages_of(docs)
+    return identify_pages(table(spark, sf_dir, "pages"), fit(docs, languages=languages), languages)

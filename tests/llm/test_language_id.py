@@ -132,3 +132,50 @@ def test_host_parts():
     assert lid.host_parts("https://A.b.Example.ORG./x") == ("a.b.example.org", "example.org", "org")
     assert lid.host_parts("http://10.0.0.1/x") == ("10.0.0.1", "10.0.0.1", None)
     assert lid.host_parts(None) == lid.host_parts("nothing") == (None, None, None)
+
+
+def slow_trigrams(text):
+    """Slots one by one: letters of the lower-cased text with one blank for each gap and at both ends."""
+    letters = [32]
+    for c in text.lower():
+        code = ord(c)
+        if 97 <= code <= 122 or code >= 0xC0 and code not in (0xD7, 0xF7) and not 0x2000 <= code <= 0x303F:
+            letters.append(code)
+        elif letters[-1] != 32:
+            letters.append(32)
+    if letters[-1] != 32:
+        letters.append(32)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        h = (a * 2654435761 + b * 2246822519 + c * 3266489917) % 2**32
+        h ^= h >> 15
+        yield (h * 668265263 % 2**32) >> 16
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 1 << 20])
+def test_trigrams_have_no_seams(monkeypatch, block):
+    monkeypatch.setattr(lid, "BLOCK", block)
+    for t in ("", "a", "ab  cd", "  -- ", "Été, 12 straße!", "x" * 64, "x" * 63 + " y", "Ελλάς 漢字 – ok"):
+        assert [int(x) for piece in lid.trigrams(t) for x in piece] == list(slow_trigrams(t))
+
+
+def test_text_likelihood_against_brute_force(spark, documents):
+    """Counts, log-probabilities and evidence from plain dictionaries; one text is over a megabyte."""
+    r = random.Random(6)
+    rows = [(i, text(lang, 30, r), lang, "s") for i, lang in enumerate(list(STEMS) * 5)] + [(90, text("en", 230_000, r), "en", "s"), (91, "nur so", "xx", "s"), (92, None, "de", "s"), (93, "der, die", None, "s")]
+    counts = {lang: Counter(s for _, t, own, _ in rows if own == lang for s in slow_trigrams(t or "")) for lang in lid.LANGUAGES}
+    total = {lang: sum(c.values()) + lid.SLOTS * lid.TRIGRAM_PRIOR for lang, c in counts.items()}
+    model = lid.fit(documents(rows))
+    asked = documents(rows + [(94, "zwischen den Jahren", None, None)]).selectExpr("doc_id AS id", "text", "lang AS declared", "source AS address")
+    for x in lid.text_evidence(asked, model).collect():
+        slots = list(slow_trigrams(next((t for i, t, *_ in rows if i == x["id"]), "zwischen den Jahren") or ""))
+        e = [sum(math.log((counts[lang][s] + lid.TRIGRAM_PRIOR) / total[lang]) for s in slots) for lang in lid.LANGUAGES]
+        assert x["n"] == len(slots)
+        assert x["fit"] == pytest.approx(max(e) / len(slots) if slots else 0, rel=1e-4)
+        for i in range(4):
+            assert x[f"e{i}"] == pytest.approx(e[i] * min(len(slots), lid.EVIDENCE) / len(slots) if slots else 0, rel=1e-4)
+
+
+def test_languages_come_from_the_labels(documents):
+    rows = [(i, "t", lang, "s") for i, lang in enumerate(["pt"] * 600 + ["it"] * 500 + ["xy"] + [None] * 3000)]
+    assert lid.languages_of(documents(rows)) == ("it", "pt")
+    assert lid.languages_of(documents(rows), most=1) == ("pt",) and lid.languages_of(documents([])) == lid.LANGUAGES
