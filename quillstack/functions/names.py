@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -170,3 +171,27 @@ def repo_archive_url(raw: Column) -> Column:
         .when((host == "bitbucket.org") & fits(bit), bitbucket)
         .when((host == "codeberg.org") & fits(berg), codeberg)
     )
+
+
+_PLAIN_REPOSITORY = r"^([^/]+)/([^/]+?)(?:\.git)?(?:/{}/(.+))?$"
+_NESTED_REPOSITORY = r"^([^/]+(?:/(?!-/|-$)[^/]+)*?)/((?!-$|-/)[^/]+?)(?:\.git)?(?:/-(?:/tree/(.+))?)?$"
+# How known hosts spell a repository's page and its archive (owner, name, ref).
+REPOSITORY_HOSTS = {
+    "github.com": (_PLAIN_REPOSITORY.format("tree"), "https://github.com/{0}/{1}/archive/{2}.zip"),
+    "gitlab.com": (_NESTED_REPOSITORY, "https://gitlab.com/{0}/{1}/-/archive/{2}/{1}-{2}.zip"),
+    "bitbucket.org": (_PLAIN_REPOSITORY.format("src"), "https://bitbucket.org/{0}/{1}/get/{2}.zip"),
+    "codeberg.org": (_PLAIN_REPOSITORY.format("src/branch"), "https://codeberg.org/{0}/{1}/archive/{2}.zip"),
+}
+
+
+def repo_archive_of(raw: str) -> str | None:
+    """repo_archive_url() of one address, on the driver."""
+    text = raw.strip(" ")
+    address = re.match(r"(?i)https?://([^/?#]+)([^?#]*)", text if "://" in text else f"https://{text}")
+    if not address or (host := address[1].lower()) not in REPOSITORY_HOSTS:
+        return None
+    pattern, archive = REPOSITORY_HOSTS[host]
+    if not (found := re.search(pattern, address[2].strip("/"))):
+        return None
+    ref = found[3] and (f"refs/heads/{found[3]}" if host == "github.com" else found[3])
+    return archive.format(found[1], found[2], ref or "HEAD")

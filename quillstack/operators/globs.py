@@ -87,6 +87,42 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
+def alternatives(glob: str, most: int = 64) -> list[str] | None:
+    """The globs without braces that a glob stands for; None if there are more than `most`, or a brace is never closed."""
+    done, todo = [], [glob]
+    while todo:
+        if len(done) + len(todo) > most:
+            return None
+        text, depth, starts, i, bracket = todo.pop(), 0, [], 0, False
+        while i < len(text):
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif bracket:
+                bracket = c != "]"
+            elif c == "[":
+                bracket = True
+                i += 1 + (text[i + 1 : i + 2] in ("^", "!") and text[i + 1 : i + 2] != "")  # a bracket in first place is a member
+            elif c == "{":
+                depth += 1
+                if depth == 1:
+                    starts = [i]
+            elif c == "," and depth == 1 or c == "}" and depth:
+                if c == "}":
+                    depth -= 1
+                if c == "," or not depth:
+                    starts.append(i)
+                if not depth:
+                    todo += [text[: starts[0]] + text[a + 1 : b] + text[i + 1 :] for a, b in zip(starts, starts[1:])]
+                    break
+            i += 1
+        else:
+            if depth:
+                return None
+            done.append(text)
+    return done
+
+
 @dataclass(frozen=True)
 class Rule:
     """One compiled rule.  `keep` keeps what it matches instead of excluding it."""
@@ -132,10 +168,15 @@ class Rule:
         return re.match(regex, path if self.whole_path else posixpath.basename(path)) is not None
 
     def reaches(self, folder: str) -> bool:
-        """Whether the rule could match something below a directory: its leading segments fit the directory's."""
+        """Whether the rule could match something below a directory: the leading segments of one of its alternatives fit the directory's."""
         if not self.whole_path:
             return True
-        parts = self.body.split("/")
+        plain = alternatives(self.body)
+        return plain is None or any(self._leads(folder, body) for body in plain)
+
+    @staticmethod
+    def _leads(folder: str, body: str) -> bool:
+        parts = body.split("/")
         for name, part in zip(folder.split("/"), parts):
             if part == "**":
                 return True
@@ -143,7 +184,7 @@ class Rule:
                 if not re.match(glob_regex(part) if _SPECIAL & set(part) else "^" + re.escape(part) + "$", name):
                     return False
             except GlobError:
-                return True  # braces across segments
+                return True  # a bracket across segments
         return len(parts) > folder.count("/") + 1
 
     def column(self, path: Column, is_dir: Column) -> Column:

@@ -6,6 +6,8 @@ Items have item_seq (a total order), kind ('section', 'file', 'prompt', 'tree',
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,14 @@ from ..functions.text import size_tokens
 from .lineage import numbered
 
 
-def plan_totals(items: DataFrame) -> DataFrame:
-    """One row: total_files, total_size, size_unknown, token_estimate.  Reads sizes only, never content."""
+def plan_totals(items: DataFrame, tokens: Callable = size_tokens) -> DataFrame:
+    """One row: total_files, total_size, size_unknown, token_estimate.  Reads sizes only, never content; `tokens` estimates by size."""
     size = F.col("size")
     return items.where("kind = 'file'").agg(
         F.count("*").alias("total_files"),
         F.coalesce(F.sum(F.when(size >= 0, size)), F.lit(0)).cast("long").alias("total_size"),
         F.coalesce(F.max(size < 0), F.lit(False)).alias("size_unknown"),
-        F.coalesce(F.sum(size_tokens(size)), F.lit(0)).cast("long").alias("token_estimate"),
+        F.coalesce(F.sum(tokens(size)), F.lit(0)).cast("long").alias("token_estimate"),
     )
 
 
@@ -56,12 +58,17 @@ def with_sections(items: DataFrame, order: list) -> DataFrame:
 
 
 def with_file_index(items: DataFrame) -> DataFrame:
-    """Adds file_index (over all), section_file_index and section_files to the file rows of with_sections() items."""
+    """Adds file_index (over all), section_file_index, section_files and (of known sizes, if there is a size) section_size to the file rows of with_sections() items.
+
+    The other rows have their section's files and size.
+    """
     files = numbered(items.where("kind = 'file'"), [F.col("item_seq")], "file_index")
-    first = files.groupBy("section").agg(F.min("file_index").alias("_first"), F.count("*").alias("section_files"))
+    known = [F.coalesce(F.sum(F.when(F.col("size") >= 0, F.col("size"))), F.lit(0)).cast("long").alias("section_size")] if "size" in items.columns else []
+    first = files.groupBy("section").agg(F.min("file_index").alias("_first"), F.count("*").alias("section_files"), *known)
     files = files.join(first, "section").withColumn("section_file_index", F.col("file_index") - F.col("_first") + 1).drop("_first")
-    none = [F.lit(None).cast("long").alias(c) for c in ("file_index", "section_files", "section_file_index")]
-    return files.unionByName(items.where("kind != 'file'").select("*", *none))
+    others = items.where("kind != 'file'").join(first.drop("_first"), "section", "left")
+    none = [F.lit(None).cast("long").alias(c) for c in ("file_index", "section_file_index")]
+    return files.unionByName(others.select("*", *none))
 
 
 def separators(items: DataFrame) -> DataFrame:

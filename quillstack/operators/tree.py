@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import numbered
+
 
 def path_parts(path: Column) -> Column:
     """Segments of a path; an address keeps scheme and host as one segment and its query in the last."""
@@ -30,9 +32,11 @@ def tree_nodes(paths: DataFrame, parts: str = "parts") -> DataFrame:
     nodes = prefixes.groupBy(F.col("n.path").alias("path")).agg(F.max("n.inner").alias("is_dir"))
     parent = F.slice("path", 1, F.size("path") - 1)
     nodes = nodes.select("path", parent.alias("parent"), F.element_at("path", -1).alias("name"), F.size("path").cast("long").alias("depth"), "is_dir")
-    siblings = Window.partitionBy("parent").orderBy(~F.col("is_dir"), "name")
-    rank = F.row_number().over(siblings).cast("long")
-    return nodes.select("*", rank.alias("rank"), F.lead("name").over(siblings).isNull().alias("is_last"))
+    # Ranks from one numbering of all nodes, so that a directory with very many children is no single task.
+    placed = numbered(nodes, [F.col("parent"), ~F.col("is_dir"), F.col("name")], "_n")
+    bounds = placed.groupBy("parent").agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"))
+    joined = placed.join(bounds, "parent")
+    return joined.select("path", "parent", "name", "depth", "is_dir", (F.col("_n") - F.col("_first") + 1).alias("rank"), (F.col("_n") == F.col("_last")).alias("is_last"))
 
 
 def tree_lines(nodes: DataFrame) -> DataFrame:

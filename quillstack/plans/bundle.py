@@ -10,9 +10,10 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ..functions import media, names, skeleton
 from ..functions.convert import document_text
-from ..functions.text import token_estimate
+from ..functions.text import size_tokens, token_estimate
 from ..operators import sections as layout
 from ..operators import tree
 from ..operators.lineage import numbered
-from ..sources import inputs
+from ..sources import archives, inputs
 from ..sources.walk import read_stream
 from ..sources.web import fetch
 from .arguments import Parsed, Render, Section, compile_sections, parse
@@ -33,7 +34,7 @@ from .templates import STATS_FUNCTIONS, Template, compile_templates
 
 VERSION = "1"
 RENDER = "struct<head:long,tail:long,numbers:boolean,max_size:long,functions:boolean,types:boolean,documents:boolean,media:boolean>"
-ITEMS = f"position long, kind string, body string, path string, abs_path string, archive string, entry string, size long, content binary, media_type string, failure string, render {RENDER}"
+ITEMS = f"position long, kind string, body string, path string, abs_path string, archive string, entry string, size long, content binary, media_type string, failure string, render {RENDER}, fields map<string,string>"
 #: What a file's content step adds to its item.
 PREPARED = "language string, text string, rows long, is_binary boolean, is_image boolean, is_compact boolean, read_error string, skeleton_mode string, data_uri string, converted_from string, original_size long, shown_size long"
 DEFAULT_STATS = (
@@ -80,8 +81,11 @@ def sliced(text: str, render: Render, kept: list | None) -> str:
     return written(top, not bottom) + gap + written(bottom, True)
 
 
-def prepare(row: dict, embeds: bool) -> dict:
-    """Reads, classifies, converts, reduces and slices one file; a failure ends in read_error."""
+def prepare(row: dict, embeds: bool, last: archives.LastArchive | None = None) -> dict:
+    """Reads, classifies, converts, reduces and slices one file; a failure ends in read_error.
+
+    `last` keeps the archive that the task's files come from, so that neighbours read it once.
+    """
     render, path = Render(**row["render"]), row["path"] or ""
     out = dict.fromkeys((c.split()[0] for c in PREPARED.split(", ")))
     out |= {"language": "", "text": "", "rows": 0, "is_binary": False, "is_image": False, "is_compact": False, "original_size": row["size"], "shown_size": row["size"]}
@@ -92,6 +96,8 @@ def prepare(row: dict, embeds: bool) -> dict:
                 data, row["media_type"] = fetch(row["abs_path"])
             except (OSError, ValueError) as error:
                 failure = f"url: {error}"
+        elif row.get("archive"):
+            data, failure = (last or archives.LastArchive()).content(row["archive"], row["entry"], render.max_size)
         else:
             data, failure = read_stream(row["abs_path"], render.max_size)
     if failure:
@@ -154,6 +160,9 @@ class Bundle:
     skipped_by_size: int = 0
     output: str = ""
     settings: dict[str, str] = field(default_factory=dict)
+    #: Estimators of tokens, by text and by size alone: Column to Column.
+    tokenizer: Callable = token_estimate
+    size_tokenizer: Callable = size_tokens
 
     @classmethod
     def from_arguments(cls, spark, arguments: list[str], cwd: str | None = None, stdin: bytes | None = None, config: dict | None = None, **options) -> Bundle:
@@ -185,7 +194,7 @@ class Bundle:
         found = {}
         for place, item in enumerate(section.items):
             if item.kind == "file":
-                got = inputs.collect(item.value, options, section.render.max_size, self.cwd, seen is not None, self.fetcher, self.spark)
+                got = inputs.collect(item.value, options, section.render.max_size, self.cwd, seen is not None, self.fetcher)
                 found[place] = [i for i in got if seen is None or not (i.key in seen or seen.add(i.key))]
             elif item.kind == "stdin":
                 found[place] = [inputs.standard_input(stdin or b"", section.render.max_size)]
@@ -214,13 +223,13 @@ class Bundle:
         return 0 < render.max_size < i.size
 
     def _push(self, kind: str, render: Render = Render(), **values) -> None:
-        row = dict.fromkeys(("body", "path", "abs_path", "archive", "entry", "size", "content", "media_type", "failure"))
+        row = dict.fromkeys(("body", "path", "abs_path", "archive", "entry", "size", "content", "media_type", "failure", "fields"))
         self.rows.append(row | {"position": len(self.rows) + 1, "kind": kind, "render": asdict(render)} | values)
 
     def add(self, target: str, render: Render = Render(), options=None) -> Bundle:
         from ..sources.walk import Options
 
-        for i in inputs.collect(target, options or Options(), render.max_size, self.cwd, fetcher=self.fetcher, spark=self.spark):
+        for i in inputs.collect(target, options or Options(), render.max_size, self.cwd, fetcher=self.fetcher):
             self.failure(i) if i.failure else self.add_input(i, render)
         return self
 
@@ -249,7 +258,7 @@ class Bundle:
 
     def context(self, arguments: list[str], now: datetime | None = None) -> Bundle:
         fields = inputs.system_context(arguments, VERSION, now or datetime.now(UTC).astimezone())
-        self._push("meta", body=inputs.context_body(fields))
+        self._push("meta", body=inputs.context_body(fields), fields=fields)
         return self
 
     # Plans and results
@@ -259,19 +268,19 @@ class Bundle:
 
     def plan(self) -> DataFrame:
         """Totals from names and sizes only: total_files, total_size, size_unknown, token_estimate."""
-        return layout.plan_totals(self.items())
+        return layout.plan_totals(self.items(), self.size_tokenizer)
 
     def failures(self) -> DataFrame:
         """What could not be read, in output order: found while listing, or while reading."""
-        return self.rendered().where("kind = 'failure' OR read_error IS NOT NULL").select("position", "path", F.coalesce("failure", "read_error").alias("failure")).orderBy("position")
+        return failures_of(self.rendered()).orderBy("position")
 
     def rendered(self) -> DataFrame:
         """Items with their place, section, indices, state and text `item`, unordered; order by position."""
-        return render_items(self.items(), self.profile, self.config, self.plan())
+        return render_items(self.items(), self.profile, self.config, self.plan(), self.skipped_by_size, self.tokenizer)
 
     def pieces(self) -> Iterator[tuple[str, int, dict]]:
         """(text, tokens, row) of everything that is written, in order; one row is on the driver at a time."""
-        return write_pieces(self.rendered(), self.profile, self.config, self.plan().first().asDict())
+        return write_pieces(self.rendered(), self.profile, self.config, self.plan().first().asDict() | {"skipped_by_size": self.skipped_by_size}, self.tokenizer)
 
     def text(self) -> str:
         return "".join(text for text, _, _ in self.pieces())
@@ -314,6 +323,10 @@ class Bundle:
         totals = self.plan().first()
         return report | {"TotalFiles": totals["total_files"], "TotalSize": totals["total_size"], "SizeUnknown": totals["size_unknown"], "TokenEstimate": totals["token_estimate"], "TotalSections": len(seen)}
 
+    def report(self) -> DataFrame:
+        """One row: what write() reports about the items, without writing them."""
+        return report_totals(self.rendered(), self.config.get("separators", profile_for(self.profile).separators))
+
     def write_parts(self, folder: str) -> None:
         """The items with their separators as text part files, whose order is the document's; nothing passes the driver."""
         rows = layout.separators(self.rendered().where("kind != 'failure'"))
@@ -333,8 +346,26 @@ def items_of_files(files: DataFrame, render: Render = Render()) -> DataFrame:
     options = F.struct(*[F.lit(v).cast("boolean" if isinstance(v, bool) else "long").alias(k) for k, v in asdict(render).items()])
     return rows.select(
         "position", F.when(F.col("failure").isNull(), "file").otherwise("failure").alias("kind"), none("body"), "path", "abs_path", none("archive"), none("entry"), "size",
-        none("content", "binary"), none("media_type"), "failure", options.alias("render"),
+        none("content", "binary"), none("media_type"), "failure", options.alias("render"), none("fields", "map<string,string>"),
+    )
+
+
+def failures_of(rendered: DataFrame) -> DataFrame:
+    """position, path, failure of what could not be listed or read."""
+    return rendered.where("kind = 'failure' OR read_error IS NOT NULL").select("position", "path", F.coalesce("failure", "read_error").alias("failure"))
+
+
+def report_totals(rendered: DataFrame, separators: bool) -> DataFrame:
+    """One row of totals over rendered items: files, rows, binary and failed ones, bytes and tokens of the items (bytes with their separators)."""
+    failed = (F.col("kind") == "failure") | F.col("read_error").isNotNull()
+    written = layout.separators(rendered.where("kind != 'failure'")) if separators else rendered.where("kind != 'failure'").withColumn("sep_before", F.lit(""))
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("long")
+    counts = rendered.agg(
+        F.count_if(F.col("kind") == "file").alias("total_files"), total(F.when(F.col("kind") == "file", F.col("rows"))).alias("total_rows"),
+        F.count_if(F.coalesce("is_binary", F.lit(False))).alias("binary_files"), F.count_if(failed).alias("failed_files"),
     )
+    size = F.octet_length("sep_before") + F.octet_length("item")
+    return counts.crossJoin(written.agg(total(size).alias("written_bytes"), total("tokens").alias("written_tokens")))
 
 
 def tree_text(spark: SparkSession, paths: list[str]) -> str:
@@ -346,54 +377,59 @@ def tree_text(spark: SparkSession, paths: list[str]) -> str:
     return "".join(r["line"] + "\n" for r in drawn.orderBy("place").toLocalIterator())
 
 
-def render_items(items: DataFrame, profile: str = "markdown", config: dict | None = None, plan: DataFrame | None = None) -> DataFrame:
-    """Items (ITEMS) with everything that templates see, and their text `item` and its tokens."""
+def render_items(items: DataFrame, profile: str = "markdown", config: dict | None = None, plan: DataFrame | None = None, skipped: int = 0, tokenizer: Callable = token_estimate) -> DataFrame:
+    """Items (ITEMS) with everything that templates see, their text `item`, what their section has around it, and the tokens of each."""
     config = config or {}
     p = profile_for(profile)
     embeds = config.get("embed_images", p.embeds_images)
     placed = layout.with_sections(items.drop("content", "failure"), [F.col("position")])
     indexed = layout.with_file_index(placed)
     # Titles open sections; what is left out of the document still has a place in its order.
-    places = indexed.select("position", "item_seq", "section", "is_implicit", "file_index", "section_file_index", "section_files")
+    places = indexed.select("position", "item_seq", "section", "is_implicit", "file_index", "section_file_index", "section_files", "section_size")
 
     def run(batches):
+        last = archives.LastArchive()
         for batch in batches:
             for row in batch.to_pylist():  # a file's content is held one at a time
-                done = prepare(dict(row), embeds) if row["kind"] == "file" else dict.fromkeys(c.split()[0] for c in PREPARED.split(", "))
+                done = prepare(dict(row), embeds, last) if row["kind"] == "file" else dict.fromkeys(c.split()[0] for c in PREPARED.split(", "))
                 one = pa.RecordBatch.from_pylist([{k: v for k, v in row.items() if k != "content"}], schema=pa.schema([f for f in batch.schema if f.name != "content"]))
                 yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([done[n.split()[0]]], _ARROW[n.split()[1]]) for n in PREPARED.split(", "))], [*one.schema.names, *(n.split()[0] for n in PREPARED.split(", "))])
 
     schema = ITEMS.replace("content binary, ", "") + ", " + PREPARED
     ready = items.mapInArrow(run, schema).join(places, "position")
-    totals = (plan if plan is not None else layout.plan_totals(items)).crossJoin(items.agg(F.count_if(F.col("kind") == "section").alias("explicit")))
-    ready = ready.join(F.broadcast(totals), how="cross").withColumns({"content": F.col("text"), "is_estimate": F.lit(False), "listed_size": F.col("size")})
+    totals = (plan if plan is not None else layout.plan_totals(items)).crossJoin(placed.agg(F.coalesce(F.max("section") + 1, F.lit(0)).alias("total_sections")))
+    ready = ready.join(F.broadcast(totals), how="cross").withColumns({"content": F.col("text"), "is_estimate": F.lit(False), "listed_size": F.col("size"), "skipped_by_size": F.lit(skipped).cast("long")})
     ready = ready.withColumns({"size": F.coalesce("shown_size", "size"), "is_compact": F.coalesce("is_compact", F.lit(False))})
     custom = compile_templates(config)
     built_in = (
         F.when(F.col("kind") == "file", p.file()).when(F.col("kind") == "prompt", p.prompt()).when(F.col("kind") == "tree", p.tree())
         .when(F.col("kind") == "meta", p.meta()).when(F.col("kind") == "section", F.concat(p.section_header(), p.section())).otherwise("")
     )
-    out = ready.withColumn("item", built_in)
+    out = ready.withColumns({"item": built_in, "section_top": p.section_header(), "section_foot": p.section_footer()})
     if custom:
+        asked = any("TokenEstimate" in str(x) for x in config.values())
+        out = out.withColumn("content_tokens", F.transform(F.array(F.coalesce("content", F.lit(""))), tokenizer)[0] if asked else F.lit(0).cast("long"))
         out = _with_templates(out, config)
-    return out.withColumn("tokens", token_estimate(F.col("item")))
+    # Inside a lambda the two short texts add no code to the stage, which has to stay small enough to be compiled.
+    around = F.transform(F.array("section_top", "section_foot"), tokenizer)
+    return out.withColumn("tokens", tokenizer(F.col("item"))).withColumns({"top_tokens": around[0], "foot_tokens": around[1]})
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
 
 def template_context(r: dict) -> dict:
-    plan = {"TotalFiles": r["total_files"], "TotalSize": r["total_size"], "SizeUnknown": r["size_unknown"], "TokenEstimate": r["token_estimate"], "TotalSections": r["explicit"], "SkippedBySize": 0}
-    section = {"Body": r["body"] if r["kind"] == "section" else "", "Index": r["section"], "TotalFiles": r["section_files"] or 0, "TotalSize": 0, "Global": plan, "IsImplicit": r["is_implicit"]}
+    plan = {"TotalFiles": r["total_files"], "TotalSize": r["total_size"], "SizeUnknown": r["size_unknown"], "TokenEstimate": r["token_estimate"], "TotalSections": r["total_sections"], "SkippedBySize": r["skipped_by_size"]}
+    section = {"Body": r["body"] if r["kind"] == "section" else "", "Index": r["section"], "TotalFiles": r["section_files"] or 0, "TotalSize": r["section_size"] or 0, "Global": plan, "IsImplicit": r["is_implicit"]}
     if r["kind"] == "section":
         return section
     if r["kind"] != "file":
-        return {"Body": r["body"] or "", "Fields": {}, "Global": plan, "Section": section}
+        return {"Body": r["body"] or "", "Fields": dict(r["fields"] or {}), "Global": plan, "Section": section}
     return {
         "Path": r["path"], "AbsPath": r["abs_path"], "Archive": r["archive"] or "", "Entry": r["entry"] or "", "Size": r["size"], "OriginalSize": r["original_size"], "ModTime": None,
         "TotalRows": r["rows"], "ReadError": r["read_error"] or "", "IsError": r["read_error"] is not None, "IsEstimate": False, "Language": r["language"], "Content": r["text"],
         "IsBinary": r["is_binary"], "IsImage": r["is_image"], "DataURI": r["data_uri"] or "", "IsCompactView": r["is_compact"], "FileIndex": r["file_index"],
-        "SectionFileIndex": r["section_file_index"], "SkeletonMode": r["skeleton_mode"] or "", "ConvertedFrom": r["converted_from"] or "", "TokenEstimate": 0, "Global": plan, "Section": section,
+        "SectionFileIndex": r["section_file_index"], "SkeletonMode": r["skeleton_mode"] or "", "ConvertedFrom": r["converted_from"] or "", "TokenEstimate": r["content_tokens"], "Global": plan, "Section": section,
     }
 
 
@@ -403,78 +439,69 @@ def _with_templates(rows: DataFrame, config: dict) -> DataFrame:
     def run(batches):
         made = compile_templates(config)
         for batch in batches:
-            texts = []
+            texts, around = [], {"section_top": [], "section_foot": []}
             for r in batch.to_pylist():
+                for column, own in (("section_top", "section_header"), ("section_foot", "section_footer")):
+                    around[column].append(made[own](template_context(r | {"kind": "section"})) if own in made else r[column])
                 name = r["kind"]
                 if name == "file":
                     name = "file_" + ("error" if r["read_error"] is not None else "image" if r["is_image"] else "binary" if r["is_binary"] else "compact" if r["is_compact"] else "content")
                 texts.append(made[name](template_context(r)) if name in made else r["item"])
-            columns = [pa.array(texts, pa.string()) if n == "item" else c for n, c in zip(batch.schema.names, batch.columns)]
+            new = around | {"item": texts}
+            columns = [pa.array(new[n], pa.string()) if n in new else c for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def estimate(spark: SparkSession, text: str) -> int:
-    return spark.range(1).select(token_estimate(F.lit(text)).alias("t")).first()["t"] if text else 0
+def write_pieces(rendered: DataFrame, profile: str, config: dict, totals: dict, tokenizer: Callable = token_estimate) -> Iterator[tuple[str, int, dict]]:
+    """Header, items in order with separators and section wrappers, footer; tokens are estimated per piece.
 
-
-def write_pieces(rendered: DataFrame, profile: str, config: dict, totals: dict) -> Iterator[tuple[str, int, dict]]:
-    """Header, items in order with separators and section wrappers, footer; tokens are estimated per piece."""
+    All texts and estimates are columns: one job for the items, one for what stands at the ends, however many sections there are.
+    """
     p, custom = profile_for(profile), compile_templates(config)
-    spark = rendered.sparkSession
     separators = config.get("separators", p.separators)
-    known: dict[str, int] = {}
-
-    def piece(text: str, row: dict | None = None):
-        if text not in known:
-            known[text] = estimate(spark, text)
-        return text, known[text], row or {}
-
-    def wrap(column, row: dict) -> str:
-        values = {k: row[k] for k in ("section", "is_implicit")} | totals
-        made = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
-        return made.select(column.alias("t")).first()["t"]
-
-    global_ = {"TotalFiles": totals["total_files"], "TotalSize": totals["total_size"], "SizeUnknown": totals["size_unknown"], "TokenEstimate": totals["token_estimate"], "TotalSections": 0, "SkippedBySize": 0}
-    head = custom["output_header"]({"Global": global_}) if "output_header" in custom else wrap(p.header(), {"section": 0, "is_implicit": True})
-    if head:
-        yield piece(head)
-
-    def around(name: str, row: dict) -> str:
-        if name in custom:
-            return custom[name](template_context(row | {"kind": "section"}))
-        return wrap(getattr(p, name)(), row)
-
+    rows = rendered.orderBy("position").toLocalIterator()
+    first = next(rows, None)
+    totals = {"skipped_by_size": 0} | totals | {"total_sections": first["total_sections"] if first else 0}
+    global_ = {"TotalFiles": totals["total_files"], "TotalSize": totals["total_size"], "SizeUnknown": totals["size_unknown"], "TokenEstimate": totals["token_estimate"], "TotalSections": totals["total_sections"], "SkippedBySize": totals["skipped_by_size"]}
+    ends = {"head": p.header(), "foot": p.footer(), "gap": F.lit("\n\n"), "line": F.lit("\n")}
+    ends |= {k: F.lit(custom[name]({"Global": global_})) for k, name in (("head", "output_header"), ("foot", "output_footer")) if name in custom}
+    known = rendered.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in ({"section": 0, "is_implicit": True} | totals).items()])
+    known = known.select(*[c.alias(k) for k, c in ends.items()]).select("*", F.transform(F.array(*ends), tokenizer).alias("tokens")).first()
+    tokens = dict(zip(ends, known["tokens"]))
+
+    def piece(name: str):
+        return known[name], tokens[name], {}
+
+    if known["head"]:
+        yield piece("head")
     open_row, wrote, compact = None, False, False
-    for r in rendered.orderBy("position").toLocalIterator():
+    for r in chain([first] if first else [], rows):
         row = r.asDict()
         if row["kind"] == "failure":
             yield "", 0, row
             continue
         if open_row is None or row["section"] != open_row["section"]:
-            if open_row is not None and (foot := around("section_footer", open_row)):
-                yield piece(foot)
+            if open_row is not None and open_row["section_foot"]:
+                yield open_row["section_foot"], open_row["foot_tokens"], {}
             if wrote and separators:
-                yield piece("\n\n")
+                yield piece("gap")
             open_row, wrote, compact = row, False, False
+            if row["section_top"] and (row["kind"] != "section" or "section_header" in custom):
+                yield row["section_top"], row["top_tokens"], {}
             if row["kind"] == "section":
-                if "section_header" in custom:
-                    yield piece(around("section_header", row))
                 yield row["item"], row["tokens"], row
                 wrote = True
                 continue
-            if top := around("section_header", row):
-                yield piece(top)
         if wrote and separators:
-            yield piece("\n" if compact and row["is_compact"] else "\n\n")
+            yield piece("line" if compact and row["is_compact"] else "gap")
         yield row["item"], row["tokens"], row
         wrote, compact = True, row["is_compact"]
-    if open_row is not None and (foot := around("section_footer", open_row)):
-        yield piece(foot)
-    foot = custom["output_footer"]({"Global": global_}) if "output_footer" in custom else wrap(p.footer(), {"section": 0, "is_implicit": True})
-    if foot:
-        yield piece(foot)
+    if open_row is not None and open_row["section_foot"]:
+        yield open_row["section_foot"], open_row["foot_tokens"], {}
+    if known["foot"]:
+        yield piece("foot")
 
 
 def stats_text(report: dict, color: bool = False, template: str = "") -> str:

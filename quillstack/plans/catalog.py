@@ -450,30 +450,6 @@ def layout_separators(spark, sf_dir):
     return sections.separators(marked).select("item_seq", "section", "sep_before")
 
 
-@query(
-    "report",
-    f"""WITH {FILES} SELECT count(*) AS total_files, sum({lines_sql('text')})::BIGINT AS total_rows, sum(size)::BIGINT AS written_bytes, sum({tokens_sql('text')})::BIGINT AS written_tokens,
-    count(*) FILTER (doc_id % 11 = 0) AS binary_files, count(*) FILTER (doc_id % 13 = 0) AS failed_files FROM f""",
-)
-def report(spark, sf_dir):
-    rows = files(spark, sf_dir)
-    return rows.agg(
-        F.count("*").alias("total_files"), F.sum(text.count_lines(F.col("text"))).alias("total_rows"), F.sum("size").alias("written_bytes"),
-        F.sum(text.token_estimate(F.col("text"))).alias("written_tokens"), F.count_if(F.col("doc_id") % 11 == 0).alias("binary_files"), F.count_if(F.col("doc_id") % 13 == 0).alias("failed_files"),
-    )
-
-
-@query(
-    "failures",
-    f"WITH {FILES} SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS item_seq, CASE WHEN doc_id % 2 = 0 THEN 'read' ELSE 'stat' END AS kind, path || ': ' || CASE WHEN doc_id % 2 = 0 THEN 'is a directory' ELSE 'no such file or directory' END AS message FROM f WHERE doc_id % 13 = 0",
-)
-def failures(spark, sf_dir):
-    even = F.col("doc_id") % 2 == 0
-    message = F.concat("path", F.lit(": "), F.when(even, "is a directory").otherwise("no such file or directory"))
-    failed = files(spark, sf_dir).where("doc_id % 13 = 0").select(F.col("doc_id").alias("item_seq"), F.when(even, "read").otherwise("stat").alias("kind"), message.alias("message"))
-    return numbered(failed, [F.col("item_seq")], "n")
-
-
 # Trees
 
 NODES = """pre AS (SELECT DISTINCT parts[1:k] AS path, k < len(parts) AS inn FROM (SELECT parts, unnest(generate_series(1, len(parts))) AS k FROM t)),

@@ -154,6 +154,28 @@ def expand(data: bytes, name: str, keep: Callable[[str, bool], bool] = lambda ke
     return sorted(found.values(), key=lambda m: m.key.encode("utf-8", "surrogateescape").split(b"/")) + failures
 
 
+class LastArchive:
+    """Entries of archives by path, one archive at a time: neighbours in a task come from the same archive."""
+
+    def __init__(self):
+        self.path, self.members = None, {}
+
+    def content(self, path: str, entry: str, limit: int = 0) -> tuple[bytes | None, str | None]:
+        """(content, failure) of an entry as it is called inside the archive."""
+        if self.path != (path, limit):
+            self.members = {}
+            try:
+                with open(path, "rb") as f:
+                    self.members = {m.entry: m for m in expand(f.read(), path, limit=limit)}
+            except OSError as error:
+                return None, f"read: {error.strerror or error}"
+            self.path = (path, limit)
+        found = self.members.get(entry)
+        if found is None:
+            return None, "archive entry: it is gone"
+        return (found.content, None) if found.content is not None else (None, found.failure or "archive entry: it is too large")
+
+
 def wrapper(names: list[str]) -> str:
     """The one directory that every entry of a repository's archive is below, or nothing."""
     top, slash, _ = names[0].partition("/") if names else ("", "", "")

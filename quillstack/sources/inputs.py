@@ -9,9 +9,10 @@ import socket
 from dataclasses import dataclass, replace
 from datetime import datetime
 
+from ..functions.names import repo_archive_of
 from .archives import expand, is_archive_name
 from .walk import CONTENT_LIMIT, Entry, Options, Walker, accepts_piped, last_match, read_stream
-from .web import Fetcher, fetch, is_http_url, repository_archive, repository_files
+from .web import Fetcher, fetch, is_http_url, repository_files
 
 
 @dataclass(frozen=True)
@@ -74,13 +75,12 @@ def _expanded(archive: Input, options: Options, shown: str, data: bytes, limit:
     return [Input(f"{archive.path}/{m.key}" if m.key else archive.path, origin, origin, m.entry, m.size, m.mod_time, content=m.content, failure=m.failure) for m in expand(data, archive.path, keep, limit)]
 
 
-def collect(target: str, options: Options = Options(), limit: int = 0, cwd: str | None = None, piped: bool = False, fetcher: Fetcher = fetch, spark=None) -> list[Input]:
+def collect(target: str, options: Options = Options(), limit: int = 0, cwd: str | None = None, piped: bool = False, fetcher: Fetcher = fetch) -> list[Input]:
     """What a target names: a repository, a web address, or a local path, in this order.  Failures are rows, never raised.
 
     For large trees walk_files() gives the same files as a distributed table.
     """
-    archive_url = repository_archive(spark, target) if spark else None
-    if archive_url:
+    if archive_url := repo_archive_of(target):
         return [Input(m.key, m.key, archive_url, m.entry, m.size, m.mod_time, content=m.content, failure=m.failure) for m in repository_files(target, archive_url, options, limit, fetcher)]
     if is_http_url(target):
         if options.expand and is_archive_name(target.split("?")[0].split("#")[0]):
@@ -102,7 +102,9 @@ def collect(target: str, options: Options = Options(), limit: int = 0, cwd: str
         if options.expand and is_archive_name(e.path) and not e.failure:
             data, failure = read_stream(e.abs_path, limit)
             rel = os.path.relpath(e.abs_path, os.path.realpath(walker.root)) if os.path.isdir(walker.root) else "."
-            out += [replace(_from_entry(e), failure=failure)] if failure else _expanded(_from_entry(e), options, walker.globbed(rel), data, limit)
+            listed = [] if failure else _expanded(_from_entry(e), options, walker.globbed(rel), data, limit)
+            # Names and sizes only: executors read the contents from the archive again.
+            out += [replace(_from_entry(e), failure=failure)] if failure else [replace(i, content=None) for i in listed]
         else:
             out.append(_from_entry(e))
     return out

@@ -11,7 +11,7 @@ import json
 import os
 import posixpath
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -140,8 +140,8 @@ class Frames:
 class Walker:
     """A walk of one root.  `shown` is the root as it was named: globs see it so, without "./" and a trailing "/"."""
 
-    def __init__(self, options: Options, shown: str, cwd: str | None = None):
-        self.options, self.frames = options, Frames(options)
+    def __init__(self, options: Options, shown: str, cwd: str | None = None, on_ignore: Callable[[str, str], None] | None = None):
+        self.options, self.frames, self.on_ignore = options, Frames(options), on_ignore
         self.cwd = cwd or os.getcwd()
         self.root = os.path.normpath(os.path.join(self.cwd, shown))
         self.display = os.path.normpath(shown)
@@ -159,18 +159,20 @@ class Walker:
     def shown(self, rel: str) -> str:
         return rel if self.display == "." else os.path.join(self.display, rel)
 
-    def skips(self, folder: str, name: str, rel: str, is_dir: bool) -> bool:
-        """Globs first, then ignore rules, then hidden names, which a keeping rule lifts."""
+    def skips(self, folder: str, name: str, rel: str, is_dir: bool) -> str:
+        """Why an entry is skipped, if it is: globs first, then ignore rules, then hidden names, which a keeping rule lifts."""
         options = self.options
         path = self.globbed(rel)
-        kept = last_match(options.globs, path, is_dir)
+        kept, why = last_match(options.globs, path, is_dir), "excluded by a glob"
         if kept is None and options.whitelist and not is_dir:
-            kept = False
+            kept, why = False, "not included by a glob"
         if kept is None:
-            kept = last_match(self.frames.of(folder).rules, os.path.join(folder, name), is_dir)
+            kept, why = last_match(self.frames.of(folder).rules, os.path.join(folder, name), is_dir), "ignore rule"
             if kept is None and not options.hidden and name.startswith("."):
-                kept = False
-        return kept is False or is_dir and not self.reaches(path)
+                kept, why = False, "hidden"
+        if kept is False:
+            return why
+        return "no include glob reaches below it" if is_dir and not self.reaches(path) else ""
 
     def reaches(self, path: str) -> bool:
         """Whether, with include globs, one of those that keep files could match below a directory."""
@@ -193,9 +195,11 @@ class Walker:
             except OSError:
                 is_dir = False
             if link and (is_dir and (not self.options.follow or (target.st_dev, target.st_ino) in ancestors) or not is_dir and self.options.no_links):
+                self._ignored(below, "link")
                 continue
             as_dir = is_dir or self.options.expand and is_archive_name(child.name)
-            if self.skips(folder, child.name, below, as_dir):
+            if why := self.skips(folder, child.name, below, as_dir):
+                self._ignored(below, why)
                 continue
             path = os.path.join(folder, child.name)
             if is_dir:
@@ -206,6 +210,10 @@ class Walker:
                 elif stat.S_ISREG(target.st_mode):  # what is walked but no file is skipped: a pipe could block
                     yield Entry(self.shown(below), path, target.st_size, datetime.fromtimestamp(target.st_mtime, UTC))
 
+    def _ignored(self, rel: str, why: str) -> None:
+        if self.on_ignore:
+            self.on_ignore(self.shown(rel), why)
+
     def walk(self, folder: str | None = None, rel: str = ".", ancestors: tuple | None = None) -> Iterator[Entry]:
         """Depth first, each directory's entries by name.  A root that is a file is never filtered."""
         if folder is None:
@@ -246,31 +254,55 @@ def accepts_piped(options: Options, path: str, is_dir: bool = False) -> bool:
 
 @dataclass
 class Subtree(InputPartition):
+    """A directory with what is below it or, if it is listed alone, only the files in it."""
+
     folder: str
     rel: str
     ancestors: tuple
-    entries: tuple = ()
+    alone: bool = False
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: Options, shown: str, cwd: str):
-        self.options, self.named, self.cwd = options, shown, cwd
+    """Partitions are subtrees: the top is opened level by level until there are enough of them, whatever its shape.
+
+    With `rejected`, the rows are what the walk skips; the failure says why.
+    """
+
+    def __init__(self, options: Options, shown: str, cwd: str, rejected: bool = False, least: int = 128):
+        self.options, self.named, self.cwd, self.rejected, self.least = options, shown, cwd, rejected, least
 
     def partitions(self):
         walker = Walker(self.options, self.named, self.cwd)
         if not os.path.isdir(walker.root):
-            return [Subtree("", "", (), tuple(walker.walk()))]
+            return [Subtree("", "", ())]
         info = os.stat(walker.root)
-        parts, files = [], []
-        for found in walker.entries(os.path.realpath(walker.root), ".", ((info.st_dev, info.st_ino),)):
-            parts.append(Subtree(*found)) if isinstance(found, tuple) else files.append(found)
-        return [Subtree("", "", (), tuple(files)), *parts]
+        alone, deep = [], [Subtree(os.path.realpath(walker.root), ".", ((info.st_dev, info.st_ino),))]
+        while deep and len(deep) < self.least and len(alone) < self.least:
+            level, deep = deep, []
+            for part in level:
+                if len(alone) >= self.least:
+                    deep.append(part)
+                    continue
+                alone.append(replace(part, alone=True))
+                deep += [Subtree(*found) for found in walker.entries(part.folder, part.rel, part.ancestors) if isinstance(found, tuple)]
+        return alone + deep
 
     def read(self, partition):
-        walker = Walker(self.options, self.named, self.cwd)
-        found = walker.walk(partition.folder, partition.rel, tuple(map(tuple, partition.ancestors))) if partition.folder else partition.entries
+        said: list[tuple[str, str]] = []
+        walker = Walker(self.options, self.named, self.cwd, (lambda path, why: said.append((path, why))) if self.rejected else None)
+        ancestors = tuple(map(tuple, partition.ancestors))
+        if partition.alone:
+            found = (e for e in walker.entries(partition.folder, partition.rel, ancestors) if isinstance(e, Entry))
+        else:
+            found = walker.walk(partition.folder, partition.rel, ancestors) if partition.folder else walker.walk()
         for e in found:
-            yield e.path, e.abs_path, e.size, e.mod_time, e.failure
+            if not self.rejected:
+                yield e.path, e.abs_path, e.size, e.mod_time, e.failure
+            while said:
+                path, why = said.pop()
+                yield path, None, None, None, why
+        for path, why in said:
+            yield path, None, None, None, why
 
 
 class BundleFiles(DataSource):
@@ -284,7 +316,7 @@ class BundleFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(from_json(self.options.get("options", "{}")), self.options["path"], self.options.get("cwd") or os.getcwd())
+        return _Reader(from_json(self.options.get("options", "{}")), self.options["path"], self.options.get("cwd") or os.getcwd(), self.options.get("rejected") == "true")
 
 
 def to_json(options: Options) -> str:
@@ -302,6 +334,13 @@ def walk_files(spark, root: str, options: Options = Options(), cwd: str | None =
     return spark.read.format("bundle_files").option("path", root).option("cwd", cwd or os.getcwd()).option("options", to_json(options)).load()
 
 
+def rejected_paths(spark, root: str, options: Options = Options(), cwd: str | None = None) -> DataFrame:
+    """(path, reason) of everything that the walk skips; what is below a skipped directory isn't visited."""
+    spark.dataSource.register(BundleFiles)
+    rows = spark.read.format("bundle_files").option("path", root).option("cwd", cwd or os.getcwd()).option("options", to_json(options)).option("rejected", "true").load()
+    return rows.select("path", F.col("failure").alias("reason"))
+
+
 def read_stream(path: str, limit: int = 0) -> tuple[bytes | None, str | None]:
     """Content of a file, pipe or device and why it could not be read; what isn't a plain file stops at a cap."""
     try:

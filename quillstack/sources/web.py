@@ -15,10 +15,8 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from ..functions import names
 from ..operators.globs import parse_ignore
 from .archives import Member, expand_repository, wrapper
 from .walk import GIT_FILE, IGNORE_FILES, Options, last_match
@@ -112,8 +110,3 @@ def repository_files(repository: str, archive_url: str, options: Options = Optio
     base = repository.rstrip("/")
     found = expand_repository(data, judge.keep, limit)
     return [Member(f"{base}/{m.key}" if m.key else base, m.entry, m.size, m.mod_time, m.content, m.failure) for m in found]
-
-
-def repository_archive(spark, address: str) -> str | None:
-    """names.repo_archive_url() of one address."""
-    return spark.range(1).select(names.repo_archive_url(F.lit(address)).alias("u")).first()["u"]

@@ -1,6 +1,8 @@
+import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.plans.bundle import Bundle, Render, items_of_files, render_items, sliced, stats_text
 from quillstack.plans.templates import TemplateError
@@ -127,3 +129,51 @@ def test_slices_of_skeletons_count_source_rows():
     assert sliced("x\n" * 10, Render(numbers=True), kept) == " 1: a\n...\n 5: b\n...\n 9: c\n"
     assert sliced("a\nb", Render(), None) == "a\nb\n"
     assert sliced("a\nb\nc", Render(head=0, tail=2), None) == "b\nc"
+
+
+def test_templates_see_totals_and_fields(spark, project):
+    config = {
+        "file_content_template": "{{ .Path }} {{ .TokenEstimate }} of {{ .Global.TokenEstimate }} in {{ .Section.TotalSize }} B", "meta_template": "{{ .Fields.command }} {{ .Section.TotalFiles }}",
+        "section_header_template": "<{{ .Index }}:{{ .TotalFiles }} {{ .TotalSize }}", "section_footer_template": "{{ .Index }}>", "output_header_template": "{{ .Global.TotalSections }} sections, {{ .Global.SkippedBySize }} skipped",
+        "output_footer_template": "{{ .Global.TotalFiles }} in {{ .Global.TotalSections }}", "section_template": "{{ .Body }} of {{ .Global.SkippedBySize }}", "separators": False,
+    }
+    bundle = Bundle.from_arguments(spark, ["a.py", "-s", "S", "-m", "23", "b.txt", "a.py"], cwd=str(project), config=config)
+    bundle.context(["--some", "thing"])
+    got = bundle.text()
+    assert bundle.skipped_by_size == 1
+    assert got.startswith("2 sections, 1 skipped<0:1 22a.py ") and "0><1:1 22S of 1a.py " in got and got.endswith(" in 22 Bquillstack --some thing 11>2 in 2")
+    own, planned = got.split("a.py ")[1].split(" in ")[0].split(" of ")
+    assert int(own) > 0 and int(planned) == 2 * (22 // 4)
+
+
+def test_own_tokenizers_count(spark, project):
+    bundle = Bundle.from_arguments(spark, ["a.py"], cwd=str(project), tokenizer=F.length, size_tokenizer=lambda size: size * 10)
+    assert sum(t for _, t, _ in bundle.pieces()) == len(bundle.text())
+    assert bundle.plan().first()["token_estimate"] == 220
+
+
+def test_archive_contents_stay_out_of_the_driver(spark, project):
+    tree(project, {"arch/y.zip": zipped({"b/one.md": b"# 1", "two.txt": b"2"}), "arch/w.txt.gz": gzip.compress(b"wrapped")}, repo=False)
+    bundle = Bundle.from_arguments(spark, ["-Z", "arch"], cwd=str(project))
+    assert [r["path"] for r in bundle.rows] == ["arch/w.txt.gz/w.txt", "arch/y.zip/b/one.md", "arch/y.zip/two.txt", "arch/z.zip/in.md"]
+    assert all(r["content"] is None and r["size"] >= 0 for r in bundle.rows)
+    assert all(part in bundle.text() for part in ("wrapped", "# 1", "```text\n2", "# in"))
+    os.unlink(project / "arch/y.zip")
+    assert [r["path"] for r in bundle.failures().collect()] == ["arch/y.zip/b/one.md", "arch/y.zip/two.txt"]
+
+
+def jobs(spark, run) -> int:
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    run()
+    return scheduler.numTotalJobs() - before
+
+
+def test_jobs_follow_neither_sections_nor_targets(spark, project):
+    def made(n):
+        return Bundle.from_arguments(spark, ["--xml", *(x for k in range(n) for x in ("-s", f"S{k}", "a.py"))], cwd=str(project))
+
+    few, many = made(2), made(15)
+    assert jobs(spark, many.text) <= jobs(spark, few.text) + 2
+    piped = "\n".join(f"f{k}.txt" for k in range(40)).encode()
+    assert jobs(spark, lambda: Bundle.from_arguments(spark, [], cwd=str(project), stdin=piped)) == 0

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import dedup, ranges, sections, slicing, tree
+from quillstack.operators import dedup, globs, ranges, sections, slicing, tree
 from quillstack.operators.lineage import numbered
 from quillstack.plans.bundle import tree_text
 
@@ -85,3 +85,19 @@ def test_first_of_and_shallowest(spark):
     assert {tuple(r) for r in dedup.first_by_key(rows, ["k"], "seq").collect()} == {("a", 1, "y"), ("b", 2, "z"), (None, 4, "m")}
     named = spark.createDataFrame([("n", "d/n.md"), ("n", "e/n.md"), ("n", "d/e/n.md"), ("m", "m.md")], "name string, path string")
     assert {tuple(r) for r in dedup.shallowest(named).collect()} == {("n", "d/n.md", 2), ("n", "e/n.md", 2), ("m", "m.md", 1)}
+
+
+@pytest.mark.parametrize(
+    "glob, folder, reached",
+    [
+        ("{**,a}/x.go", "a", True), ("{**,a}/x.go", "a/b", True), ("{a,b}/c/x", "b", True), ("{a,b}/c/x", "b/c", True), ("{a,b}/c/x", "c", False), ("{a,b/c}/x", "b", True), ("{a,b/c}/x", "b/d", False),
+        ("a/{b,{c,**}}/d", "a/z/y", True), ("[{]/x", "{", True), ("[{]/x", "a", False), ("\\{a/b", "{a", True), ("a/b", "a/b", False), ("*.py", "any/where", True),
+    ],
+)
+def test_which_directories_a_glob_reaches(glob, folder, reached):
+    assert globs.Rule(glob, True).reaches(folder) is reached
+
+
+def test_alternatives_of_braces():
+    assert sorted(globs.alternatives("a{b,c{d,e}}f")) == ["abf", "acdf", "acef"]
+    assert globs.alternatives("plain/[{]*") == ["plain/[{]*"] and globs.alternatives("{a,b") is None and globs.alternatives("{a,b}" * 9) is None

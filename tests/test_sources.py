@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.functions import names
 from quillstack.operators.globs import exclude, include
 from quillstack.sources import archives, inputs, walk, web
 from quillstack.sources.walk import Options, Walker
@@ -179,7 +180,7 @@ def test_repositories_are_read_as_checkouts(spark):
         fetched.append(url)
         return data, "application/zip"
 
-    got = inputs.collect("https://github.com/o/r", Options(globs=(exclude("docs/**"),)), fetcher=fetcher, spark=spark)
+    got = inputs.collect("https://github.com/o/r", Options(globs=(exclude("docs/**"),)), fetcher=fetcher)
     assert [(i.path, i.entry, i.content) for i in got] == [("https://github.com/o/r/src/m.go", "r-main/src/m.go", b"m")]
     assert fetched == ["https://github.com/o/r/archive/HEAD.zip"]
 
@@ -234,3 +235,32 @@ def test_settings(tmp_path):
     fields = inputs.system_context(["-n", "3", "a b"], "1", datetime(2024, 5, 1, tzinfo=UTC))
     body = inputs.context_body(fields | {"zone": "x", "empty": ""})
     assert body.startswith("OS: ") and "Time: 2024-05-01T00:00:00+00:00\n" in body and "Command: quillstack -n 3 'a b'\n" in body and body.endswith("zone: x\n")
+
+
+def test_rejected_paths_say_why(spark, tmp_path):
+    root = tree(tmp_path / "r", {".ignore": "*.log\n", "a.log": "", "b.py": "", ".hid/x": "", "sub/c.txt": "", "sub/deep/d.log": "", "out/e.py": ""})
+    os.symlink(root / "sub", root / "ln")
+    got = {r["path"]: r["reason"] for r in walk.rejected_paths(spark, ".", Options(globs=(exclude("out"),)), str(root)).collect()}
+    assert got == {".git": "hidden", ".ignore": "hidden", ".hid": "hidden", "a.log": "ignore rule", "sub/deep/d.log": "ignore rule", "out": "excluded by a glob", "ln": "link"}
+    got = {r["path"]: r["reason"] for r in walk.rejected_paths(spark, ".", Options(globs=(include("sub/**"),)), str(root)).collect()}
+    assert got["b.py"] == "not included by a glob" and got["out"] == "no include glob reaches below it"
+
+
+def test_partitions_of_a_deep_tree_do_not_follow_its_top(tmp_path):
+    root = tree(tmp_path / "d", {f"one/{i}/{j}/f.txt": "" for i in range(6) for j in range(6)} | {"one/top.txt": "", "x.txt": ""})
+    reader = walk._Reader(Options(), ".", str(root), least=20)
+    parts = reader.partitions()
+    assert len(parts) >= 20
+    found = [row[0] for part in parts for row in reader.read(part)]
+    assert sorted(found) == sorted(e.path for e in Walker(Options(), ".", str(root)).walk()) and len(found) == 38
+
+
+@pytest.mark.parametrize(
+    "address",
+    [
+        "github.com/o/r", " https://GitHub.com/o/r.git ", "https://github.com/o/r/tree/dev/x", "https://github.com/o", "https://github.com/o/r/issues", "gitlab.com/g/s/p", "https://gitlab.com/g/p/-/tree/v1",
+        "https://gitlab.com/g/p/-", "https://gitlab.com/g/-/p", "bitbucket.org/o/r/src/main", "https://codeberg.org/o/r/src/branch/b?x=1#y", "https://example.org/o/r", "src/main.py", "", "ftp://github.com/o/r", "github.com//o/r//",
+    ],
+)
+def test_repository_addresses_on_the_driver_and_as_a_column(spark, address):
+    assert names.repo_archive_of(address) == spark.range(1).select(names.repo_archive_url(F.lit(address)).alias("u")).first()["u"]
