@@ -36,7 +36,7 @@ VERSION = "1"
 RENDER = "struct<head:long,tail:long,numbers:boolean,max_size:long,functions:boolean,types:boolean,documents:boolean,media:boolean>"
 ITEMS = f"position long, kind string, body string, path string, abs_path string, archive string, entry string, size long, content binary, media_type string, failure string, render {RENDER}, fields map<string,string>"
 #: What a file's content step adds to its item.
-PREPARED = "language string, text string, rows long, is_binary boolean, is_image boolean, is_compact boolean, read_error string, skeleton_mode string, data_uri string, converted_from string, original_size long, shown_size long"
+PREPARED = "language string, text string, rows long, is_binary boolean, is_image boolean, is_compact boolean, read_error string, skeleton_mode string, data_uri string, converted_from string, original_size long, shown_size long, is_estimate boolean"
 DEFAULT_STATS = (
     '{{ accent .ColorEnabled "▎" }} {{ commafy .Global.TotalFiles }} {{ plural .Global.TotalFiles "file" "files" }} {{ dim .ColorEnabled "·" }} '
     '{{ commafy .Global.TotalRows }} {{ plural .Global.TotalRows "row" "rows" }} {{ dim .ColorEnabled "·" }} {{ commafy .Global.TotalSections }} '
@@ -52,13 +52,29 @@ def count_rows(text: str) -> int:
     return text.count("\n") + (1 if text and not text.endswith("\n") else 0)
 
 
+# Bytes up to which rows of a partly shown file are counted, and the part that larger ones are judged by.
+COUNTED, JUDGED = 64 << 20, 64 << 10
+
+
+def estimated_rows(data: bytes) -> int | None:
+    """Rows by the line length of the first part; None for data that is small enough to count."""
+    if len(data) <= COUNTED:
+        return None
+    ends = data[:JUDGED].count(b"\n")
+    return len(data) * ends // JUDGED if ends else 1
+
+
 def numbered_lines(lines: list[tuple[int, str]], width: int) -> str:
     """Lines with their rows in front; row 0 is a marker without one."""
     return "".join(f"{row:>{width}}: {line}\n" if row else f"{line}\n" for row, line in lines)
 
 
-def sliced(text: str, render: Render, kept: list | None) -> str:
-    """Head, tail or both of a text, or of its skeleton's lines; a gap says how many source rows it leaves out."""
+def shows_all(render: Render, lines: int) -> bool:
+    return (render.head < 0 and not render.tail) or render.head < 0 <= render.tail or render.head + max(render.tail, 0) >= lines
+
+
+def sliced(text: str, render: Render, kept: list | None, estimated: int | None = None) -> str:
+    """Head, tail or both of a text, or of its skeleton's lines; a gap says how many source rows (of about `estimated`) it leaves out."""
     total = count_rows(text)
     width = len(str(max(total, 1)))
     raw = text.split("\n")
@@ -70,14 +86,14 @@ def sliced(text: str, render: Render, kept: list | None) -> str:
         out = numbered_lines(part, width) if render.numbers else "".join(line + "\n" for _, line in part)
         return out if ended or not last else out.removesuffix("\n")
 
-    if (head < 0 and not render.tail) or head < 0 <= render.tail or head + tail >= len(lines):
+    if shows_all(render, len(lines)):
         return written(lines, False) if lines else ""
     top, bottom = lines[:head], lines[len(lines) - tail :] if tail else []
     gap = ""
     if top and bottom:
         first = next((r for r, _ in bottom if r), total)
         skipped = first - 1 - next((r for r, _ in reversed(top) if r), 0) if kept is not None else len(lines) - head - tail
-        gap = f"... ({skipped} rows skipped)\n"
+        gap = f"... ({skipped} rows skipped)\n" if estimated is None else f"... (~{estimated - len(top) - len(bottom)} rows skipped)\n"
     return written(top, not bottom) + gap + written(bottom, True)
 
 
@@ -88,7 +104,7 @@ def prepare(row: dict, embeds: bool, last: archives.LastArchive | None = None) -
     """
     render, path = Render(**row["render"]), row["path"] or ""
     out = dict.fromkeys((c.split()[0] for c in PREPARED.split(", ")))
-    out |= {"language": "", "text": "", "rows": 0, "is_binary": False, "is_image": False, "is_compact": False, "original_size": row["size"], "shown_size": row["size"]}
+    out |= {"language": "", "text": "", "rows": 0, "is_estimate": False, "is_binary": False, "is_image": False, "is_compact": False, "original_size": row["size"], "shown_size": row["size"]}
     data, failure = row["content"], row["failure"]
     if data is None and not failure:
         if row["abs_path"].startswith(("http://", "https://")):
@@ -130,7 +146,7 @@ def prepare(row: dict, embeds: bool, last: archives.LastArchive | None = None) -
     text = "" if out["is_binary"] else data.decode("utf-8", "replace")
     out["language"] = names.language_of(path, text) if language is None else language
     out["rows"] = count_rows(text)
-    kept = None
+    kept = guess = None
     if not out["is_binary"] and not image:
         ranges = skeleton.skeleton_rows(out["language"], text, render.functions, render.types, path)
         if ranges is not None:
@@ -138,8 +154,10 @@ def prepare(row: dict, embeds: bool, last: archives.LastArchive | None = None) -
             out |= {"skeleton_mode": skeleton.mode_label(render.functions, render.types), "shown_size": sum(len(x.encode()) + 1 for _, x in kept)}
     nothing = render.head == 0 and render.tail == 0
     out["is_compact"] = nothing or out["is_binary"] or out["shown_size"] == 0
+    if kept is None and not out["is_binary"] and not shows_all(render, out["rows"]) and (guess := estimated_rows(data)) is not None:
+        out |= {"rows": guess, "is_estimate": True}
     if not out["is_compact"]:
-        out["text"] = sliced(text, render, kept)
+        out["text"] = sliced(text, render, kept, guess)
     return out
 
 
@@ -398,7 +416,7 @@ def render_items(items: DataFrame, profile: str = "markdown", config: dict | Non
     schema = ITEMS.replace("content binary, ", "") + ", " + PREPARED
     ready = items.mapInArrow(run, schema).join(places, "position")
     totals = (plan if plan is not None else layout.plan_totals(items)).crossJoin(placed.agg(F.coalesce(F.max("section") + 1, F.lit(0)).alias("total_sections")))
-    ready = ready.join(F.broadcast(totals), how="cross").withColumns({"content": F.col("text"), "is_estimate": F.lit(False), "listed_size": F.col("size"), "skipped_by_size": F.lit(skipped).cast("long")})
+    ready = ready.join(F.broadcast(totals), how="cross").withColumns({"content": F.col("text"), "is_estimate": F.coalesce("is_estimate", F.lit(False)), "listed_size": F.col("size"), "skipped_by_size": F.lit(skipped).cast("long")})
     ready = ready.withColumns({"size": F.coalesce("shown_size", "size"), "is_compact": F.coalesce("is_compact", F.lit(False))})
     custom = compile_templates(config)
     built_in = (
@@ -427,7 +445,7 @@ def template_context(r: dict) -> dict:
         return {"Body": r["body"] or "", "Fields": dict(r["fields"] or {}), "Global": plan, "Section": section}
     return {
         "Path": r["path"], "AbsPath": r["abs_path"], "Archive": r["archive"] or "", "Entry": r["entry"] or "", "Size": r["size"], "OriginalSize": r["original_size"], "ModTime": None,
-        "TotalRows": r["rows"], "ReadError": r["read_error"] or "", "IsError": r["read_error"] is not None, "IsEstimate": False, "Language": r["language"], "Content": r["text"],
+        "TotalRows": r["rows"], "ReadError": r["read_error"] or "", "IsError": r["read_error"] is not None, "IsEstimate": r["is_estimate"], "Language": r["language"], "Content": r["text"],
         "IsBinary": r["is_binary"], "IsImage": r["is_image"], "DataURI": r["data_uri"] or "", "IsCompactView": r["is_compact"], "FileIndex": r["file_index"],
         "SectionFileIndex": r["section_file_index"], "SkeletonMode": r["skeleton_mode"] or "", "ConvertedFrom": r["converted_from"] or "", "TokenEstimate": r["content_tokens"], "Global": plan, "Section": section,
     }

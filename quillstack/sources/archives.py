@@ -1,8 +1,8 @@
 """Archives as tables of their entries: zip and tar in all their wrappings, and singly compressed files.
 
 The format is told by content first and by name second.  Entries that escape by "..", aren't plain files or repeat a path are
-left out; an entry that can't be read becomes a failure and the others stay.  Formats without a decoder in the standard
-library (rar, 7z, brotli, lz4, snappy, lzip) give one failure for the archive.
+left out; an entry that can't be read becomes a failure and the others stay.  Formats without a decoder here (rar, 7z)
+give one failure for the archive.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import posixpath
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -31,7 +32,10 @@ except ImportError:
 
 _SUFFIX = re.compile(ARCHIVE_SUFFIX.removeprefix("(?i)"), re.I)
 # First bytes of the formats.
-MAGIC = ((b"PK\x03\x04", "zip"), (b"PK\x05\x06", "zip"), (b"\x1f\x8b", "gz"), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zst"), (b"Rar!", "rar"), (b"7z\xbc\xaf\x27\x1c", "7z"))
+MAGIC = ((b"PK\x03\x04", "zip"), (b"PK\x05\x06", "zip"), (b"\x1f\x8b", "gz"), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zst"), (b"Rar!", "rar"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"\x04\x22\x4d\x18", "lz4"), (b"\xff\x06\x00\x00sNaPpY", "sz"), (b"LZIP", "lz"))
+# Formats of one compressed stream, and other names for them.
+STREAMS = ("gz", "bz2", "xz", "zst", "br", "lz4", "sz", "lz")
+OTHER_NAMES = {"s2": "sz"}
 ENTRY = "path string, archive string, entry string, size long, mod_time timestamp, content binary, failure string"
 
 
@@ -69,7 +73,70 @@ def identify(data: bytes, name: str) -> str:
             return "tar"
     except tarfile.TarError:
         pass
-    return name.lower().rpartition(".")[2] if is_archive_name(name) else ""
+    suffix = name.lower().rpartition(".")[2] if is_archive_name(name) else ""
+    return OTHER_NAMES.get(suffix, suffix)
+
+
+def snappy_stream(data: bytes) -> Iterator[bytes]:
+    """The chunks of the snappy framing format; checksums aren't compared."""
+    codec, at = pa.Codec("snappy"), 0
+    while at < len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "little")
+        body = data[at + 4 : at + 4 + size]
+        if len(body) < size:
+            raise EOFError("unexpected end of stream")
+        at += 4 + size
+        if kind == 1:
+            yield body[4:]
+        elif kind == 0:
+            length = shift = 0
+            for byte in body[4:9]:
+                length |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    break
+            if length > 1 << 16:
+                raise ValueError("chunk too large")
+            yield codec.decompress(body[4:], length, asbytes=True)
+        elif 2 <= kind < 0x80:
+            raise ValueError("unknown chunk")
+
+
+def lzip_stream(data: bytes) -> Iterator[bytes]:
+    """The members of an lzip file, each checked against its checksum."""
+    while data:
+        if data[:4] != b"LZIP" or len(data) < 26:
+            raise ValueError("no lzip member")
+        size = 1 << (data[5] & 31)
+        filters = [{"id": lzma.FILTER_LZMA1, "dict_size": size - size // 16 * (data[5] >> 5), "lc": 3, "lp": 0, "pb": 2}]
+        decoder = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=filters)
+        member = decoder.decompress(data[6:])
+        rest = decoder.unused_data
+        if not decoder.eof or len(rest) < 20:
+            raise EOFError("unexpected end of stream")
+        if zlib.crc32(member) != int.from_bytes(rest[:4], "little"):
+            raise ValueError("wrong checksum")
+        yield member
+        data = rest[20:]
+
+
+class _Chunks(io.RawIOBase):
+    """A readable stream of an iterator of bytes; only what is asked for is decoded."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held:
+            if (chunk := next(self.chunks, None)) is None:
+                return 0
+            self.held = chunk
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
 
 
 def opened(kind: str, data: bytes):
@@ -82,6 +149,10 @@ def opened(kind: str, data: bytes):
         return lzma.LZMAFile(raw)
     if kind == "zst" and zstandard:
         return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+    if kind in ("lz4", "br"):
+        return pa.CompressedInputStream(raw, "brotli" if kind == "br" else kind)
+    if kind in ("sz", "lz"):
+        return io.BufferedReader(_Chunks((snappy_stream if kind == "sz" else lzip_stream)(data)))
     raise ValueError("no readable format")
 
 
@@ -123,13 +194,13 @@ def expand(data: bytes, name: str, keep: Callable[[str, bool], bool] = lambda ke
     found: dict[str, Member] = {}
     failures: list[Member] = []
     try:
-        if kind in ("gz", "bz2", "xz", "zst") and not is_tar(kind, data):
+        if kind in STREAMS and not is_tar(kind, data):
             base = posixpath.basename(name)
             key = posixpath.splitext(base)[0] or base
             if keep(key, False):
                 content, size = bounded(opened(kind, data), -1, limit)
                 found[key] = Member(key, key, size, None, content)
-        elif kind in ("zip", "tar", "gz", "bz2", "xz", "zst"):
+        elif kind in ("zip", "tar", *STREAMS):
             for raw, is_dir, plain, claimed, time, source in _members(kind, data, name):
                 key = clean_entry(raw)
                 if not key or key == ".." or key.startswith("../") or is_dir or not plain or key in found or not keep(key, False):

@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from datetime import datetime
 
 from ..functions.names import repo_archive_of
-from .archives import expand, is_archive_name
+from .archives import STREAMS, expand, is_archive_name
 from .walk import CONTENT_LIMIT, Entry, Options, Walker, accepts_piped, last_match, read_stream
 from .web import Fetcher, fetch, is_http_url, repository_files
 
@@ -67,7 +67,7 @@ def _expanded(archive: Input, options: Options, shown: str, data: bytes, limit:
 
     def keep(key: str, is_dir: bool) -> bool:
         parts = key.split("/")
-        single = len(parts) == 1 and archive.path.endswith((".gz", ".bz2", ".xz", ".zst")) and parts[0].startswith(".")
+        single = len(parts) == 1 and archive.path.endswith(tuple(f".{x}" for x in STREAMS)) and parts[0].startswith(".")
         inside = any(skips("/".join(parts[:k]), parts[k - 1], True) for k in range(1, len(parts)))
         return not inside and not skips(key, "" if single else parts[-1], is_dir)
 

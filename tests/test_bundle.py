@@ -1,9 +1,11 @@
 import gzip
 import os
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.plans import bundle as plans
 from quillstack.plans.bundle import Bundle, Render, items_of_files, render_items, sliced, stats_text
 from quillstack.plans.templates import TemplateError
 from quillstack.sources.walk import Options, walk_files
@@ -177,3 +179,19 @@ def test_jobs_follow_neither_sections_nor_targets(spark, project):
     assert jobs(spark, many.text) <= jobs(spark, few.text) + 2
     piped = "\n".join(f"f{k}.txt" for k in range(40)).encode()
     assert jobs(spark, lambda: Bundle.from_arguments(spark, [], cwd=str(project), stdin=piped)) == 0
+
+
+def test_rows_of_very_long_files_are_estimated(monkeypatch):
+    monkeypatch.setattr(plans, "COUNTED", 100)
+    monkeypatch.setattr(plans, "JUDGED", 40)
+    text = "123456789\n" * 30 + "x" * 700
+
+    def shown(**options):
+        row = {"render": asdict(Render(**options)), "path": "a.txt", "abs_path": "", "content": text.encode(), "size": 1000, "media_type": None, "failure": None}
+        out = plans.prepare(row, False)
+        return out["rows"], out["is_estimate"], out["text"]
+
+    assert shown(head=0, tail=0) == (100, True, "")
+    assert shown(head=2, tail=1) == (100, True, "123456789\n" * 2 + "... (~97 rows skipped)\n" + "x" * 700)
+    assert shown()[:2] == (31, False) and shown(head=40, tail=0)[:2] == (31, False)
+    assert plans.estimated_rows(b"x" * 101) == 1 and plans.estimated_rows(b"\n" * 100) is None

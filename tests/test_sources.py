@@ -1,9 +1,12 @@
 import gzip
 import io
+import lzma
 import os
 import tarfile
 import zipfile
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +267,40 @@ def test_partitions_of_a_deep_tree_do_not_follow_its_top(tmp_path):
 )
 def test_repository_addresses_on_the_driver_and_as_a_column(spark, address):
     assert names.repo_archive_of(address) == spark.range(1).select(names.repo_archive_url(F.lit(address)).alias("u")).first()["u"]
+
+
+def lzip(data):
+    packer = lzma.LZMACompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}])
+    body = packer.compress(data) + packer.flush()
+    return b"LZIP\1\x14" + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(8, "little") + (len(body) + 26).to_bytes(8, "little")
+
+
+def framed_snappy(data):
+    out = b"\xff\x06\0\0sNaPpY"
+    for k, at in enumerate(range(0, len(data), 60_000)):
+        part = data[at : at + 60_000]
+        body = b"crc_" + (part if k % 2 else pa.Codec("snappy").compress(part, asbytes=True))
+        out += bytes([k % 2]) + len(body).to_bytes(3, "little") + body + b"\xfe\2\0\0ab"
+    return out
+
+
+PACKERS = {"lz4": lambda d: pa.Codec("lz4").compress(d, asbytes=True), "br": lambda d: pa.Codec("brotli").compress(d, asbytes=True), "sz": framed_snappy, "lz": lambda d: lzip(d[:7]) + lzip(d[7:])}
+
+
+@pytest.mark.parametrize("suffix", PACKERS)
+def test_other_compressions(suffix):
+    text = b"".join(b"line %d of it\n" % k for k in range(20_000))
+    packed = PACKERS[suffix](text)
+    [one] = archives.expand(packed, f"d/notes.txt.{suffix}")
+    assert (one.key, one.size, one.content, one.failure) == ("notes.txt", len(text), text, None)
+    [over] = archives.expand(packed, f"notes.txt.{suffix}", limit=100)
+    assert (over.size, over.content) == (101, None)
+    inner = io.BytesIO()
+    with tarfile.open(fileobj=inner, mode="w") as t:
+        info = tarfile.TarInfo("a/b.txt")
+        info.size = len(text)
+        t.addfile(info, io.BytesIO(text))
+    [entry] = archives.expand(PACKERS[suffix](inner.getvalue()), f"all.tar.{suffix}")
+    assert (entry.key, entry.content) == ("a/b.txt", text)
+    assert archives.expand(packed[: len(packed) // 2], f"notes.txt.{suffix}")[0].failure or suffix in ("lz4", "br")
+    assert all(m.failure for m in archives.expand(b"nothing of the kind" * 9, f"odd.{suffix}"))
