@@ -131,6 +131,19 @@ def local_stars(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.nda
     return nodes[moved], low[moved]
 
 
+def local_forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions of edges (u, v) that span the components of n nodes without a cycle."""
+    kept, root, left = np.empty(0, np.int64), np.arange(n), np.arange(len(u))
+    while True:
+        a, b = root[u[left]], root[v[left]]
+        left, high = left[a != b], np.maximum(a, b)[a != b]
+        if not len(left):
+            return kept
+        # One edge from each root to a smaller one.
+        kept = np.r_[kept, left[np.unique(high, return_index=True)[1]]]
+        root = local_roots(n, u[kept], v[kept])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u long, v long); root is the smallest node reachable.
 

@@ -1,4 +1,7 @@
-"""Links of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more: prefix filter, then verification.
+"""Links of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more: SimHash, prefix filter, verification.
+
+Pairs that simhash.near_pairs() finds by fingerprints are verified and linked first; all that follows compares only sets of
+different components.
 
 Shingles are put in one order over all documents, rare ones first.  Two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles of each, so an index of these prefixes holds every such pair (length and position bounds drop
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,12 +82,14 @@ def frequent_buckets(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
 
 
 def prefixes(source: DataFrame, shingle: int, bucket: np.ndarray, often: np.ndarray) -> DataFrame:
-    """doc_id, mark, node (hash of the set), n, prefix (its rarest shingles, rare ones first) of each row with words.
+    """doc_id, mark, node (hash of the set), n, f0 (its fingerprint), prefix (its rarest shingles, rare ones first) of each row with words.
 
     Whole sets are some eight bytes a word, more than the text, so they are never stored: verification makes those it
     needs anew.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary())])
+    from .simhash import set_fingerprint
+
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "mark", "node", "n", "f0")), ("prefix", pa.binary())])
 
     def run(batches):
         weight = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -95,16 +101,16 @@ def prefixes(source: DataFrame, shingle: int, bucket: np.ndarray, often: np.ndar
                 if n := len(s):
                     node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
                     order = np.lexsort((s, weight[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
-                    yield i, mark, node, n, s[order[: n - -(-PART * n // WHOLE) + 1]].tobytes()
+                    yield i, mark, node, n, set_fingerprint(s), s[order[: n - -(-PART * n // WHOLE) + 1]].tobytes()
 
         for batch in batches:
             yield from _pieces(rows(batch), schema)
 
-    return source.mapInArrow(run, "doc_id long, mark long, node long, n long, prefix binary")
+    return source.mapInArrow(run, "doc_id long, mark long, node long, n long, f0 long, prefix binary")
 
 
-def prefix_index(rows: DataFrame) -> DataFrame:
-    """token, node, place (n and, in the low half, position in the prefix): the prefix of each distinct set."""
+def prefix_index(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, node, place (n and, in the low half, position in the prefix), root (null without links): the prefix of each distinct set."""
 
     def explode(batches):
         for batch in batches:
@@ -115,16 +121,18 @@ def prefix_index(rows: DataFrame) -> DataFrame:
                 tokens = np.frombuffer(b"".join(lists), np.int64)
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 node, n = (np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node), pa.array((n << 32) | pos)], ["token", "node", "place"])
+                root = part.column(3).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node), pa.array((n << 32) | pos), root], ["token", "node", "place", "root"])
 
-    distinct = rows.select("node", "n", "prefix").dropDuplicates(["node"])
-    return distinct.mapInArrow(explode, "token long, node long, place long")
+    distinct = rows.select("node", "n", "prefix").dropDuplicates(["node"]).join(roots, "node", "left")
+    return distinct.select("node", "n", "prefix", "root").mapInArrow(explode, "token long, node long, place long, root long")
 
 
 def listed_pairs(run: pa.Table) -> pa.Table:
     """first_pairs() of index rows."""
     place = run["place"].to_numpy()
-    run = pa.table({"token": run["token"], "node": run["node"], "n": (place >> 32).astype(np.int32), "pos": (place & 0x7FFFFFFF).astype(np.int32)})
+    root = pc.coalesce(run["root"], run["node"])
+    run = pa.table({"token": run["token"], "node": run["node"], "n": (place >> 32).astype(np.int32), "pos": (place & 0x7FFFFFFF).astype(np.int32), "root": root})
     return first_pairs(run)
 
 
@@ -143,11 +151,14 @@ def _pairs(node, us, vs) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_pairs(run: pa.Table) -> pa.Table:
-    """Pairs (u, v) of the lists in `run`; the rows of long lists come along with a null v, for other_pairs()."""
-    token, node, n, pos = (run[c].to_numpy() for c in ("token", "node", "n", "pos"))
+    """Pairs (u, v) of the lists in `run`; the rows of long lists come along with a null v, for other_pairs().
+
+    With a column root, only pairs of different roots.
+    """
+    token, node, n, pos, root = (run[c].to_numpy() for c in ("token", "node", "n", "pos", "root" if "root" in run.column_names else "node"))
     # Long lists of one group share a few orders, so that most of their chains are the same pairs, which then count once.
     order = np.lexsort(((node ^ (token % ORDERS) * np.int64(0x2545F4914F6CDD1D)) * np.int64(0x1E3779B97F4A7C15), token))
-    token, node, n, pos = token[order], node[order], n[order], pos[order]
+    token, node, n, pos, root = token[order], node[order], n[order], pos[order], root[order]
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[first, len(token)])
     size = np.repeat(length, length)
@@ -156,12 +167,12 @@ def first_pairs(run: pa.Table) -> pa.Table:
     tidy = np.lexsort((node, pos, token))[first] if len(token) else first
     i = np.flatnonzero(size > WIDE)
     j = np.repeat(tidy, length)[i]
-    ok = (i != j) & _possible(n, pos, i, j)
+    ok = (root[i] != root[j]) & _possible(n, pos, i, j)
     us.append(i[ok])
     vs.append(j[ok])
     for step in range(1, min(WIDE, int(length.max(initial=1)))):
         i = np.flatnonzero((token[step:] == token[:-step]) & ((size[:-step] <= WIDE) | (step <= CHAIN)))
-        i = i[_possible(n, pos, i, i + step)]
+        i = i[(root[i] != root[i + step]) & _possible(n, pos, i, i + step)]
         us.append(i)
         vs.append(i + step)
     u, v = _pairs(node, us, vs)
@@ -290,13 +301,16 @@ def verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, shingle: int)
 
 def near_components(docs: DataFrame, text: str, doc_id: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, mark, node of each row with words; and node, root: the components of the sets that have links."""
+    from .simhash import near_pairs
+
     source = shingle_source(docs, text, doc_id)
     order = frequent_buckets(source, shingle)
     rows = stored(prefixes(source, shingle, *order))
-    found = cut(arrow_map(prefix_index(rows), listed_pairs, "u long, v long, token long, n int, pos int", "token"))
+    near = connected_components(verified(near_pairs(rows.select("node", "f0").distinct()), rows, source, shingle))
+    found = cut(arrow_map(prefix_index(rows, near), listed_pairs, "u long, v long, token long, n int, pos int", "token"))
     pairs = cut(found.where("v IS NOT NULL").select("u", "v").distinct())
     release(docs.sparkSession)
-    links = verified(screened(pairs, rows, *order), rows, source, shingle)
+    links = verified(screened(pairs, rows, *order), rows, source, shingle).unionByName(near.select(F.col("node").alias("u"), F.col("root").alias("v")))
     roots = connected_components(links)
     known, lists = rows.select("doc_id", "mark", "node"), found.where("v IS NULL")
     if lists.isEmpty():

@@ -235,3 +235,70 @@ def test_rows_with_partners():
     t, n, pos, root = (rows[c].tolist() for c in ("token", "n", "pos", "root"))
     want = {i for i in range(200) if any(t[i] == t[j] and root[i] != root[j] and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j]) for j in range(200))}
     assert set(shingle_join.partnered(pa.table(rows))["u"].to_pylist()) == want and 0 < len(want) < 200
+
+
+def close(x):
+    return x.bit_count() <= 10 and sum(x >> 8 * k & 255 == 0 for k in range(8)) >= 3
+
+
+def test_pairs_of_the_byte_index_span_all_links(spark):
+    """Fingerprints some bits apart, equal ones and a group that fills long lists: the pairs are links and connect what all links do."""
+    r = random.Random(17)
+    prints = [f ^ sum(1 << b for b in r.sample(range(64), r.randrange(12))) for f in (r.getrandbits(64) for _ in range(120)) for _ in range(3)]
+    prints += [(1 << 63) | (1 << a) | (1 << b) for a, b in combinations(range(13), 2)]
+
+    def components(pairs):
+        root = list(range(len(prints)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(len(prints))]
+
+    links = {(a, b) for a, b in combinations(range(len(prints)), 2) if close(prints[a] ^ prints[b])}
+    assert links >= {(a, b) for a, b in combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 5}
+    rows = [(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(prints)]
+    got = {tuple(x) for x in simhash.near_pairs(spark.createDataFrame(rows, "node long, f0 long")).collect()}
+    assert got <= links and components(got) == components(links)
+
+
+def set_bits(text):
+    words = text.encode().split()
+    return simhash.set_fingerprint(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)], np.uint64)))
+
+
+def close_texts(a, b):
+    return close((set_bits(a) ^ set_bits(b)) & ((1 << 64) - 1))
+
+
+def test_fingerprints_of_sets():
+    r = random.Random(23)
+    words = [f"w{r.randrange(9999)}" for _ in range(20_000)]
+    assert set_bits(" ".join(words)) == int(np.uint64(simhash.simhash(" ".join(words).encode(), 5)).view(np.int64))
+
+
+def test_near_copies_of_close_fingerprints_are_linked_by_simhash(documents, monkeypatch):
+    """What fingerprints link needs no list of shingles; the rest goes there, and exact similarities decide on both."""
+    r = random.Random(19)
+    rows, linked, met = [], 0, []
+    for i in range(60):
+        words = [f"w{r.randrange(100_000)}" for _ in range(900)]
+        tail = r.choice([2, 30, 80])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-tail], *(f"x{r.randrange(100_000)}" for _ in range(tail))]))]
+        linked += close_texts(rows[-2][1], rows[-1][1])
+    words = [f"w{r.randrange(100_000)}" for _ in range(400)]
+    while True:  # close fingerprints, but not 0.8
+        far = " ".join([*words[:-53], *(f"x{r.randrange(100_000)}" for _ in range(53))])
+        if close_texts(" ".join(words), far):
+            break
+    rows += [(900, " ".join(words)), (901, far)]
+    screened = shingle_join.screened
+    monkeypatch.setattr(shingle_join, "screened", lambda pairs, *rest: (met.append(pairs.count()), screened(pairs, *rest))[1])
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(documents(rows)).select("doc_id").collect()}
+    want = brute_drops(rows)
+    assert len(want) == 60 and {i for i, _ in rows} - kept == want
+    assert 30 < linked < 60 and met == [60 - linked + 1]
