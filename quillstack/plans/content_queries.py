@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import convert, media, skeleton
+from ..functions.pieces import in_pieces
 from ..sources import archives
 from .arguments import Render
 from .bundle import failures_of, prepare, render_items, report_totals
@@ -25,11 +26,14 @@ from .templates import Template
 def _files(df, make, key: str):
     """(key, path, abs_path, content) with make(key, text) -> (path, bytes), built by the executors."""
 
+    names = df.columns
+
+    def file(i, text):
+        path, data = make(i, text or "")
+        return path, path, data
+
     def run(batches):
-        for batch in batches:
-            made = [make(i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            paths = pa.array([p for p, _ in made], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), paths, paths, pa.array([d for _, d in made], pa.binary())], [key, "path", "abs_path", "content"])
+        yield from in_pieces(batches, names, file, pa.schema([("path", pa.string()), ("abs_path", pa.string()), ("content", pa.binary())]), [key])
 
     return df.mapInArrow(run, f"{key} long, path string, abs_path string, content binary")
 
