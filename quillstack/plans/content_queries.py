@@ -25,7 +25,6 @@ from .templates import Template
 
 def _files(df, make, key: str):
     """(key, path, abs_path, content) with make(key, text) -> (path, bytes), built by the executors."""
-
     names = df.columns
 
     def file(i, text):
@@ -170,12 +169,14 @@ SLICE = "# {t}\ndef f{i}(a, b={n}):\n... (11 rows skipped)\n    def m(self):\n"
 def _prepared(rows, render: Render, key: str, wanted: str):
     """Columns of the content step of files (key, path, content)."""
     names = [c.split()[0] for c in wanted.split(", ")]
+    blank = dict.fromkeys(("abs_path", "media_type", "failure")) | {"render": asdict(render)}
+
+    def prepared(path, content):
+        done = prepare(blank | {"path": path, "content": content, "size": len(content)}, False)
+        return tuple(done[n] for n in names)
 
     def run(batches):
-        blank = dict.fromkeys(("abs_path", "media_type", "failure"))
-        for batch in batches:
-            done = [prepare(blank | {"render": asdict(render), "path": p, "content": c, "size": len(c)}, False) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[n] for d in done], pa.string()) for n in names)], [key, *names])
+        yield from in_pieces(batches, ["path", "content"], prepared, pa.schema([(n, pa.string()) for n in names]), [key])
 
     return rows.mapInArrow(run, f"{key} long, {wanted}")
 
